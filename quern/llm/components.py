@@ -1,0 +1,42 @@
+"""Connected components of links kept in tables, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.shared import materialize
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node long, component long) of every node on a link of links (a long, b long); component is the smallest node.
+
+    Links to itself and repeated links are ignored; rows with nulls are dropped.
+    No links, no rows. Each round is two joins on node; links, labels and
+    components stay in tables, and the driver sees a count and a checksum only.
+    A node with very many links is split by adaptive skew joins, and the minimum
+    is pre-aggregated before the shuffle.
+    """
+
+    def star(edges: DataFrame, larger: bool) -> DataFrame:
+        """Link each node's larger (or no larger) neighbours, and itself, to the least of its neighbourhood."""
+        if larger:
+            near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+            least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            new = near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        else:
+            least = edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+            new = edges.withColumnRenamed("b", "u").join(least, "u").select(F.col("m").alias("x"), F.explode(F.array("a", "u")).alias("y"))
+            new = new.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        return new.where("a <> b").distinct()
+
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = materialize(edges, "links")
+    mark = None
+    while True:
+        row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if row[0] == 0 or tuple(row) == mark:
+            break
+        mark = tuple(row)
+        edges = materialize(star(star(edges, True), False), "stars")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
