@@ -4,7 +4,7 @@ Vectors are normalised and go to the list of their nearest coarse centroid; what
 is left is coded in SUBSPACES bytes. Centroids and code books are fitted on at most
 SAMPLE vectors, those with the least seeded hash, and every vector is indexed. A
 query visits its nearest lists, as many as found RECALL of the sample's own
-neighbours; in each it ranks all codes by its asymmetric distance table and takes the
+neighbours, and on until it has seen 16 * RERANK rows; in each it ranks all codes by its asymmetric distance table and takes the
 RERANK best to be held exactly, in double precision, against the original vectors.
 A list is worked on in blocks of BLOCK_ROWS at most, so a list that holds a third of
 all rows is many tasks.
@@ -84,9 +84,12 @@ class Index:
         rest = (x - self.coarse[own]).reshape(len(x), len(self.books), -1)
         return own, np.stack([_near(rest[:, j], b) for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def lists(self, q: np.ndarray) -> np.ndarray:
-        """The lists that each query visits."""
-        return np.argsort((self.coarse**2).sum(1) - 2 * (q @ self.coarse.T), axis=1, kind="stable")[:, : self.probes]
+    def lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query visits: the nearest ones, on to `least` rows together."""
+        order = np.argsort((self.coarse**2).sum(1) - 2 * (q @ self.coarse.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        wanted = (np.arange(len(sizes)) < self.probes) | (before < least)
+        return [row[ok] for row, ok in zip(order, wanted, strict=True)]
 
 
 def fit(x: np.ndarray, rows: int, subspaces: int = SUBSPACES, recall: float = RECALL, k: int = 5, seed: int = 3) -> Index:
@@ -175,6 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
 
     coded = materialize(clean.mapInArrow(encode, "vec_id long, x binary, list int, code binary"), "coded")
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # MOST_LISTS rows at most
+    counts = np.array([sizes.get(a, 0) for a in range(len(index.coarse))])
     blocks = {a: -(-n // block_rows) for a, n in sizes.items()}
     count = F.create_map(*[F.lit(int(v)) for pair in sorted(blocks.items()) for v in pair])
     there = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("list"))).cast("int"))
@@ -183,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
         for batch in batches:
             if not batch.num_rows:
                 continue
-            to = shared.value.lists(_unit(_matrix(batch.column("x"))))
+            to = shared.value.lists(_unit(_matrix(batch.column("x"))), counts, 16 * rerank)
             pairs = [(i, a, b) for i, row in enumerate(to) for a in row.tolist() for b in range(blocks.get(a, 0))]
             at = pa.array([p[0] for p in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("x").take(at), pa.array([p[1] for p in pairs], pa.int32()), pa.array([p[2] for p in pairs], pa.int32())], names=["vec_id", "x", "list", "block"])

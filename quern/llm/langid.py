@@ -26,7 +26,7 @@ from quern.llm.shared import pieces, text_buffer
 DIMENSIONS = 4096
 SAMPLE = 3200
 CENTROIDS = 4
-REJECT = 0.5
+REJECT = 0.2
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import materialize
 
 #: Rows in a range of the ranking, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 _MOST_RANGES = 65_536
 
 
