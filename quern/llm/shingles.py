@@ -29,25 +29,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word in order, and for each document the index of its first word (one more entry at the end)."""
+def hashed_words(data: np.ndarray, offs: np.ndarray, cut: np.ndarray | None = None, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word in order, where words start and end in data, and for each document the index of its first word (one more entry at the end).
+
+    Bytes go through the table fold first; where cut says so, a word ends before a byte.
+    """
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    low = _LOWER[data]
+    none = np.zeros(0, np.int64)
+    low = fold[data]
     inside = ~_SPACE[low]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
-    before = np.empty(n, bool)
-    before[0] = False
+    if cut is not None:
+        edge[:-1] |= cut
+    before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
+    after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return none.view(np.uint64), none, none, np.zeros(len(offs), np.int64)
     lens = ends - starts
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lens.max()), _BYTE)]), dtype=np.uint64)
     at = np.flatnonzero(inside)
@@ -55,7 +57,13 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     values = low[at].astype(np.uint64) + np.uint64(1)
     values *= powers[np.arange(len(at)) - np.repeat(first, lens)]
     hashes = mix(np.add.reduceat(values, first) + lens.astype(np.uint64) * _SHORT)
-    return hashes, np.searchsorted(starts, offs)
+    return hashes, starts, ends, np.searchsorted(starts, offs)
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word in order, and for each document the index of its first word (one more entry at the end)."""
+    hashes, _, _, first = hashed_words(data, offs)
+    return hashes, first
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +20,148 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import materialize, pieces, text_buffer
+from quern.llm.shingles import _LOWER, hashed_words
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Words that a worker remembers with their ids, and the longest of them.
-KNOWN_WORDS, KNOWN_BYTES = 400_000, 48
+#: Stretches that a worker remembers with their ids; hashing goes through this many bytes of text at once.
+KNOWN, HASH_BYTES = 800_000, 128 << 10
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[39] = False  # an apostrophe may belong to what follows
+_MARK &= ~_LETTER
+_SAME = np.arange(256, dtype=np.uint8)
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space and never joins what it parts, remembering words."""
+    """Encodes texts with a tokenizer that drops white space and never joins what it parts, each distinct stretch once.
+
+    Texts are cut at ASCII white space and, if the tokenizer parts there and lower-cases, between
+    ASCII letters or digits and other ASCII marks. Equal stretches have equal ids, so only
+    those that the worker doesn't remember, by a 64-bit hash, are encoded. Runs of letters are encoded many in one text, where a
+    token with the end-of-word suffix closes each. A text that holds a special token's
+    string is encoded as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers, with end behind them. Texts are cut at ASCII white space."""
-        words = [t.split() for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        ids = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, ids, strict=True)}
-        known.update(fresh)
-        out = [b"".join([known[w] for w in ws]) + end for ws in words]
-        for w in new:
-            if len(w) > KNOWN_BYTES:
-                del known[w]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = ["ABC Abcdef, x2%(y)", "abc abcdef , x2 % ( y )", "abc abcdef , x2 %( y )"]
+        plain = [tuple(e.ids) for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+        self.parts = bool(suffix) and plain[0] == plain[2]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _plain(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of runs of letters, a pre-token each."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            out += np.split(ids, ends[:-1]) if len(ends) == len(some) else self._plain(some)
         return out
 
+    def _learn(self, hashes: np.ndarray, words: list[str], shrink: bool) -> None:
+        """Enter new stretches, which come in order of their hashes."""
+        letters = np.array([self.parts and w.isalpha() and (w.isascii() or is_normalized("NFC", w)) for w in words], bool)
+        found = np.empty(len(words), object)
+        for pick, encode in ((letters, self._letters), (~letters, self._plain)):
+            at = np.flatnonzero(pick)
+            if len(at):
+                found[at] = _objects(encode([words[i] for i in at]))
+        size = np.array([len(x) for x in found], np.int64)
+        if shrink and len(self.hashes) > KNOWN:  # keep what came first, which is most frequent
+            keep = self.at < len(self.ids) // 2
+            self.hashes, self.at, self.size = self.hashes[keep], self.at[keep], self.size[keep]
+            self.ids = self.ids[: int((self.at + self.size).max(initial=0))].copy()
+        to = np.searchsorted(self.hashes, hashes)
+        self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, to, size)
+        self.hashes = np.insert(self.hashes, to, hashes)
+        self.ids = np.concatenate([self.ids, *found])
+
+    def _ids(self, data: np.ndarray, offs: np.ndarray, shrink: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        parts, base = [], 0
+        at = 0
+        while at < len(offs) - 1:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + HASH_BYTES, side="right")) - 1)
+            some, own = data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+            cut = None
+            if self.parts and len(some):
+                letter, mark = _LETTER[some], _MARK[some]
+                cut = np.zeros(len(some), bool)
+                cut[1:] = letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
+            h, start, end, first = hashed_words(some, own, cut, _LOWER if self.parts else _SAME)
+            parts.append((h, start + offs[at], end + offs[at], first[:-1] + base))
+            base += len(h)
+            at = to
+        hashes, start, end, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        unique, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        to = np.searchsorted(self.hashes, unique)
+        new = np.ones(len(unique), bool)
+        inside = to < len(self.hashes)
+        new[inside] = self.hashes[to[inside]] != unique[inside]
+        if new.any():
+            text = data.tobytes()
+            missing = where[new]
+            before = len(self.hashes)
+            words = [text[a:b].decode() for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            self._learn(unique[new], words, shrink)
+            if len(self.hashes) != before + len(words):  # stretches of this text may have been forgotten
+                return self._ids(data, offs, shrink=False)
+            to = np.searchsorted(self.hashes, unique)
+        size = self.size[to][which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[to][which] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.append(first, len(hashes))])
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts that lie at offs in data, end behind each, and how many each has."""
+        text = data.tobytes()
+        if any(s in text for s in self.special):
+            whole = [np.append(self._plain([text[a:b].decode()])[0], [] if end is None else end).astype(np.uint32) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
+        ids, n = self._ids(data, offs)
+        if end is None:
+            return ids, n
+        n = n + 1
+        out = np.full(len(ids) + len(n), end, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(n) - 1] = False
+        out[inner] = ids
+        return out, n
+
+
+def _objects(arrays: list[np.ndarray]) -> np.ndarray:
+    out = np.empty(len(arrays), object)
+    for i, x in enumerate(arrays):
+        out[i] = x
+    return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, whose tasks share what it remembers."""
+    return WordEncoder(path)
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
     """Write (doc_id, n_tokens, tokens) for each row of docs (doc_id, text) to new files under path.
@@ -58,17 +169,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     A null or empty text has the end id alone, or nothing. A null doc_id comes first;
     rows with the same doc_id stand by text. Long texts are encoded whole. No rows, no rows.
     """
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for part in pieces(batches):
-            data, offs = text_buffer(part.column("text"))
-            ids = encoder.encode([data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], end)
-            n = np.array([len(x) // 4 for x in ids], np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), lists], names=["doc_id", "n_tokens", "tokens"])
+            ids, n = encoder.encode(*text_buffer(part.column("text")), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {
