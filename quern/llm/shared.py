@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Text is taken in pieces of about this many bytes, so that a worker's arrays stay small.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,6 +26,8 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Stretches that a worker remembers with their ids; hashing goes through this many bytes of text at once.
 KNOWN, HASH_BYTES = 800_000, 128 << 10
+#: Text whose stretches are looked up together.
+PIECE = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -172,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for part in pieces(batches):
+        for part in pieces(batches, most=PIECE):
             ids, n = encoder.encode(*text_buffer(part.column("text")), end_id)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
