@@ -211,7 +211,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    file = tmp_path / "p.egg"
+    file = tmp_path / "program.txt"
     file.write_text(f'{REACH} (relation s (String)) (s "a\\"b") (edge 1 2) (run) (check (path 1 2)) (check (path 2 1)) (print-size path) (print-stats)')
     assert main([str(file)], spark) == 0
     out = capsys.readouterr().out.splitlines()
