@@ -15,11 +15,13 @@ known states. A conversation with a third of all rows is thus spread over many t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.shared import shared_dir
 
@@ -118,26 +120,30 @@ def _told(role: int, s: int, t: int) -> tuple[str, str, tuple[str, ...]]:
     return ROLES[t - 1], action, tuple(ROLES[q - 1] for q in _INSERT[s][via])
 
 
-def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one conversation each, as they follow one another in a partition."""
-    kept: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
-            continue
-        ids = frame["conv_id"]
-        new = (ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())
-        new.iloc[0] = True
-        for _, part in frame.groupby(new.cumsum()):
-            if kept and not _same(kept[-1]["conv_id"].iloc[0], part["conv_id"].iloc[0]):
-                yield pd.concat(kept)
-                kept = []
-            kept.append(part)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of rows of one conversation (conv_id first), as they follow one another in a partition."""
+    kept: list[list] = []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        at = 0
+        for conv, run in groupby(columns[0]):
+            to = at + sum(1 for _ in run)
+            part = [c[at:to] for c in columns]
+            if kept and kept[0][0] == conv:
+                for have, more in zip(kept, part, strict=True):
+                    have += more
+            else:
+                if kept:
+                    yield kept
+                kept = part
+            at = to
     if kept:
-        yield pd.concat(kept)
+        yield kept
 
 
-def _same(a, b) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
 
 def _escape(text: str) -> str:
@@ -162,20 +168,20 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     rows = rows.checkpoint()  # ranges are drawn from a sample: all passes must see the same
 
-    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The matrices of a partition's first and last conversation."""
         at, first, last = TaskContext.get().partitionId(), None, None
         n = 0
-        for part in _stretches(frames):
-            roles = [role_number(r) for r in part["role"]]
-            last = (n, part["conv_id"].iloc[0], roles)
+        for convs, roles in _stretches(batches):
+            last = (n, convs[0], [role_number(r) for r in roles])
             first = first or last
             n += 1
-        for k, conv, roles in [first, last][: min(n, 2)] if n else []:
-            m = [c for s in range(4) for c in _forward([0 if t == s else _FAR for t in range(4)], roles)[-1]]
-            yield pd.DataFrame({"part": [at], "k": [k], "conv": [None if pd.isna(conv) else str(conv)], "m": [m]})
+        found = [first, last][: min(n, 2)]
+        m = [[c for s in range(4) for c in _forward([0 if t == s else _FAR for t in range(4)], roles)[-1]] for _, _, roles in found]
+        rows = ((at, k, None if conv is None else str(conv), x) for (k, conv, _), x in zip(found, m, strict=True))
+        yield from _batches(rows, pa.schema([("part", pa.int32()), ("k", pa.int32()), ("conv", pa.string()), ("m", pa.list_(pa.int64()))]))
 
-    cut = sorted(rows.select("conv_id", "role").mapInPandas(ends, "part int, k int, conv string, m array<long>").collect(), key=lambda r: (r["part"], r["k"]))
+    cut = sorted(rows.select("conv_id", "role").mapInArrow(ends, "part int, k int, conv string, m array<long>").collect(), key=lambda r: (r["part"], r["k"]))
     runs: list[list] = []  # stretches of one conversation over partitions
     for r in cut:
         if runs and runs[-1][-1]["conv"] == r["conv"] and runs[-1][-1]["part"] != r["part"]:
@@ -194,45 +200,54 @@ def format_chats(turns: DataFrame) -> DataFrame:
         follows |= {(r["part"], r["k"]) for r in run[:-1]}
     todo = [run for run in runs if len(run) > 1]
 
-    def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of stretches that are part of a run: the state before them for each state after them."""
         at = TaskContext.get().partitionId()
-        for k, part in enumerate(_stretches(frames)):
-            if (at, k) in wanted:
-                roles = [role_number(r) for r in part["role"]]
-                table = _forward(enter[at, k], roles)
-                yield pd.DataFrame({"part": [at], "k": [k], "to": [[_trace(table, roles, t)[0] for t in range(4)]], "costs": [table[-1]]})
+
+        def ways() -> Iterator[tuple]:
+            for k, (_, names) in enumerate(_stretches(batches)):
+                if (at, k) in wanted:
+                    roles = [role_number(r) for r in names]
+                    table = _forward(enter[at, k], roles)
+                    yield at, k, [_trace(table, roles, t)[0] for t in range(4)], table[-1]
+
+        yield from _batches(ways(), pa.schema([("part", pa.int32()), ("k", pa.int32()), ("to", pa.list_(pa.int32())), ("costs", pa.list_(pa.int64()))]))
 
     wanted = {(r["part"], r["k"]) for run in todo for r in run}
     if todo:
-        ways = {(r["part"], r["k"]): r for r in rows.select("conv_id", "role").mapInPandas(back, "part int, k int, to array<int>, costs array<long>").collect()}
+        ways = {(r["part"], r["k"]): r for r in rows.select("conv_id", "role").mapInArrow(back, "part int, k int, to array<int>, costs array<long>").collect()}
         for run in todo:
             state = _last(ways[run[-1]["part"], run[-1]["k"]]["costs"])
             for r in reversed(run):
                 leave[r["part"], r["k"]] = state
                 state = ways[r["part"], r["k"]]["to"][state]
 
-    def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = rows.schema["conv_id"].dataType
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
-        for k, part in enumerate(_stretches(frames)):
-            roles = [role_number(r) for r in part["role"]]
-            table = _forward(enter.get((at, k), [0, _FAR, _FAR, _FAR]), roles)
-            last = leave.get((at, k), _last(table[-1]))
-            states = _trace(table, roles, last)
-            out = []
-            for i, (r, text) in enumerate(zip(roles, part["text"], strict=True)):
-                role, action, inserted = _told(r, states[i], states[i + 1])
-                text = "" if text is None else _escape(text)
-                if action.startswith("merge"):
-                    piece = "\n" + text
-                else:
-                    piece = "".join(OPEN.format(x) + CLOSE for x in inserted) + OPEN.format(role) + text
-                    if states[i] != _START:
-                        piece = CLOSE + piece
-                if i == len(roles) - 1 and (at, k) not in follows:
-                    piece += CLOSE + "".join(OPEN.format(ROLES[q - 1]) + CLOSE for q in _INSERT[last][_ASSISTANT])
-                out.append((role, action, ",".join(inserted), piece, table[i + 1][states[i + 1]]))
-            yield pd.concat([part[["conv_id", "turn"]].reset_index(drop=True), pd.DataFrame(out, columns=["role", "action", "inserted", "rendered", "cost"])], axis=1)
+
+        def told() -> Iterator[tuple]:
+            for k, (convs, numbers, names, texts) in enumerate(_stretches(batches)):
+                roles = [role_number(r) for r in names]
+                table = _forward(enter.get((at, k), [0, _FAR, _FAR, _FAR]), roles)
+                last = leave.get((at, k), _last(table[-1]))
+                states = _trace(table, roles, last)
+                for i, (r, text) in enumerate(zip(roles, texts, strict=True)):
+                    role, action, inserted = _told(r, states[i], states[i + 1])
+                    text = "" if text is None else _escape(text)
+                    if action.startswith("merge"):
+                        piece = "\n" + text
+                    else:
+                        piece = "".join(OPEN.format(x) + CLOSE for x in inserted) + OPEN.format(role) + text
+                        if states[i] != _START:
+                            piece = CLOSE + piece
+                    if i == len(roles) - 1 and (at, k) not in follows:
+                        piece += CLOSE + "".join(OPEN.format(ROLES[q - 1]) + CLOSE for q in _INSERT[last][_ASSISTANT])
+                    yield convs[i], numbers[i], role, action, ",".join(inserted), piece, table[i + 1][states[i + 1]]
+
+        names = ["role", "action", "inserted", "rendered"]
+        yield from _batches(told(), pa.schema([("conv_id", to_arrow_type(shape)), ("turn", pa.int64()), *((n, pa.string()) for n in names), ("cost", pa.int64())]))
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return rows.mapInPandas(render, f"conv_id {kind}, turn long, role string, action string, inserted string, rendered string, cost long")
+    return rows.mapInArrow(render, f"conv_id {kind}, turn long, role string, action string, inserted string, rendered string, cost long")
