@@ -6,14 +6,16 @@ SAMPLE vectors, those with the least seeded hash, and every vector is indexed. A
 query visits its nearest lists, as many as found RECALL of the sample's own
 neighbours, and on until it has seen 16 * RERANK rows; in each it ranks all codes by its asymmetric distance table and takes the
 RERANK best to be held exactly, in double precision, against the original vectors.
-A list is worked on in blocks of BLOCK_ROWS at most, so a list that holds a third of
-all rows is many tasks.
+A list is worked on in blocks of about BLOCK_ROWS, so a list that holds a third of
+all rows is many tasks. A task holds one block, and queries stream past it; over
+QUERY_ROWS queries are parted, and each part meets every block in its own task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ CODES = 256
 RERANK = 64
 RECALL = 0.98
 BLOCK_ROWS = 8_192
+QUERY_ROWS = 200_000
+#: Tasks of the search, where there are so many blocks.
+MOST_TASKS = 10_000
 MOST_LISTS = 1_024
 
 
@@ -112,41 +117,71 @@ def fit(x: np.ndarray, rows: int, subspaces: int = SUBSPACES, recall: float = RE
     return Index(coarse, books, int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1)
 
 
-def _block(index: Index, k: int, rerank: int):
-    def run(there: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if there.num_rows and asked.num_rows:
-            there = there.sort_by("vec_id")
-            ids, x = there["vec_id"].to_numpy(), _matrix(there["x"])
-            codes = np.frombuffer(b"".join(there["code"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-            codes += np.arange(codes.shape[1]) * index.books.shape[1]
-            codes = np.ascontiguousarray(codes.T)
-            norms = np.sqrt((x * x).sum(1))
-            centre = index.coarse[there["list"][0].as_py()]
-            square = (index.books**2).sum(2)
-            for qid, q in zip(asked["vec_id"].to_numpy(), _matrix(asked["x"]), strict=True):
-                rest = (_unit(q[None])[0] - centre).reshape(len(index.books), 1, -1)
-                table = (square - 2 * (index.books * rest).sum(2)).ravel()
-                far = table[codes[0]]
-                for c in codes[1:]:
-                    far += table[c]
-                if len(ids) > rerank + 1:
-                    edge = np.partition(far, rerank)[rerank]
-                    below, same = np.flatnonzero(far < edge), np.flatnonzero(far == edge)
-                    some = np.concatenate([below, same[: rerank + 1 - len(below)]])
-                else:
-                    some = np.arange(len(ids))
-                some = np.sort(some[ids[some] != qid])
-                score = (x[some] * q).sum(1) / (norms[some] * np.sqrt((q * q).sum()))
-                best = np.lexsort((ids[some], -score))[:k]
-                out.append((np.full(len(best), qid), ids[some[best]], score[best]))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
+class _Block:
+    """Rows of one list, ready to be searched."""
+
+    def __init__(self, index: Index, rows: pa.Table):
+        rows = rows.sort_by("vec_id")
+        self.index, self.ids, self.x = index, rows["vec_id"].to_numpy(), _matrix(rows["x"])
+        codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(self.ids), -1).astype(np.int64)
+        codes += np.arange(codes.shape[1]) * index.books.shape[1]
+        self.codes = np.ascontiguousarray(codes.T)
+        self.norms = np.sqrt((self.x * self.x).sum(1))
+        self.centre = index.coarse[rows["list"][0].as_py()]
+        self.square = (index.books**2).sum(2)
+
+    def nearest(self, qid: int, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best of the `rerank` rows nearest by the distance table."""
+        books, ids = self.index.books, self.ids
+        rest = (_unit(q[None])[0] - self.centre).reshape(len(books), 1, -1)
+        table = (self.square - 2 * (books * rest).sum(2)).ravel()
+        far = table[self.codes[0]]
+        for c in self.codes[1:]:
+            far += table[c]
+        if len(ids) > rerank + 1:
+            edge = np.partition(far, rerank)[rerank]
+            below, same = np.flatnonzero(far < edge), np.flatnonzero(far == edge)
+            some = np.concatenate([below, same[: rerank + 1 - len(below)]])
+        else:
+            some = np.arange(len(ids))
+        some = np.sort(some[ids[some] != qid])
+        score = (self.x[some] * q).sum(1) / (self.norms[some] * np.sqrt((q * q).sum()))
+        best = np.lexsort((ids[some], -score))[:k]
+        return ids[some[best]], score[best]
+
+
+def _answer(index: Index, k: int, rerank: int):
+    """Search each block for its queries. Rows come by (list, block, part), the block's before the queries, which stream past it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        block: _Block | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "block", "part", "asks")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
+            for a, b in pairwise(edges):
+                rows = batch.slice(a, b - a)
+                if key != (key := tuple(keys[:3, a])):
+                    held, block = [], None
+                if not keys[3, a]:
+                    held.append(rows)
+                    continue
+                if held:
+                    block, held = _Block(index, pa.Table.from_batches(held)), []
+                if block is None:
+                    continue
+                found = [(qid, *block.nearest(qid, q, k, rerank)) for qid, q in zip(rows.column("vec_id").to_numpy(), _matrix(rows.column("x")), strict=True)]
+                ids, score = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+                asked = np.repeat(rows.column("vec_id").to_numpy(), [len(f[1]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, rerank: int = RERANK, recall: float = RECALL, block_rows: int = BLOCK_ROWS, seed: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, rerank: int = RERANK, recall: float = RECALL, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of vectors (vec_id, embedding) to each of queries (vec_id, embedding).
 
     A row of vectors with the query's own vec_id is no candidate of it. Ties go to the
@@ -181,7 +216,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     counts = np.array([sizes.get(a, 0) for a in range(len(index.coarse))])
     blocks = {a: -(-n // block_rows) for a, n in sizes.items()}
     count = F.create_map(*[F.lit(int(v)) for pair in sorted(blocks.items()) for v in pair])
-    there = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("list"))).cast("int"))
+    queried = materialize(parse(queries).dropDuplicates(["vec_id"]), "queries")
+    parts = -(-queried.count() // query_rows)
+    if not parts:
+        return spark.createDataFrame([], schema)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +230,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
             at = pa.array([p[0] for p in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("x").take(at), pa.array([p[1] for p in pairs], pa.int32()), pa.array([p[2] for p in pairs], pa.int32())], names=["vec_id", "x", "list", "block"])
 
-    asked = parse(queries).dropDuplicates(["vec_id"]).mapInArrow(visit, "vec_id long, x binary, list int, block int")
-    found = there.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(_block(index, k, rerank), "query_id long, vec_id long, score double")
+    block = F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("list"))).cast("int")
+    key = ["list", "block", "part"]
+    there = coded.select("vec_id", "x", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("asks"), "code")
+    asked = queried.mapInArrow(visit, "vec_id long, x binary, list int, block int")
+    asked = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("code"))
+    tasks = min(MOST_TASKS, sum(blocks.values()) * parts)
+    both = there.unionByName(asked).repartition(tasks, *key).sortWithinPartitions(*key, "asks")
+    found = both.mapInArrow(_answer(index, k, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
