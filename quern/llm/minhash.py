@@ -38,6 +38,13 @@ LIST_NODES = 4096
 TASK_SHINGLES = 2_000_000
 
 
+def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set, which with its size make its node."""
+    s1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    s2 = np.array([np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    return s1, s2
+
+
 def _sign(coordinates: int, seed: int):
     odd = multipliers(coordinates, seed)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int32()))])
@@ -46,8 +53,7 @@ def _sign(coordinates: int, seed: int):
         for part in pieces(batches):
             sets = shingle_sets(*text_buffer(part.column("text")))
             n = np.array([len(s) for s in sets], np.int64)
-            s1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            s2 = np.array([np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            s1, s2 = _prints(sets)
             sig = signatures(sets, odd)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), pa.array(sig.reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), lists], schema=schema)
@@ -158,13 +164,14 @@ def _search(sets: list[np.ndarray], queries: np.ndarray, percent: int) -> list[t
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace text by the sorted array of shingle hashes."""
+    """Replace text by the sorted array of shingle hashes, and add the set's two fingerprints."""
     for part in pieces(batches):
         sets = shingle_sets(*text_buffer(part.column("text")))
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
         i = part.schema.get_field_index("text")
-        yield part.set_column(i, "shingles", lists)
+        s1, s2 = _prints(sets)
+        yield part.set_column(i, "shingles", lists).append_column("s1", pa.array(s1)).append_column("s2", pa.array(s2))
 
 
 def _links(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,9 +259,9 @@ def near_duplicates(
     near = connected_components(materialize(links, "candidates"))
     near = materialize(near.join(weights, "node").join(nodes.select("node", "doc_id", "n_shingles"), "node"), "near")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(near), "doc_id")
-    members = texts.select("node", "component", "weight", "n_shingles", "text").mapInArrow(_with_sets, "node long, component long, weight long, n_shingles long, shingles array<long>")
-    # a doc_id that several rows have stands for its smallest set of each node
-    members = materialize(members.where("size(shingles) = n_shingles").dropDuplicates(["node"]), "members")
+    members = texts.select("node", "component", "weight", "n_shingles", "text").mapInArrow(_with_sets, "node long, component long, weight long, n_shingles long, shingles array<long>, s1 long, s2 long")
+    # rows with the same doc_id can hold different sets: each node takes its own
+    members = materialize(members.where(F.xxhash64("n_shingles", "s1", "s2") == F.col("node")).drop("s1", "s2").dropDuplicates(["node"]), "members")
     linked = connected_components(materialize(confirmed(members, percent, task_shingles), "confirmed"))
     group = nodes.select("node", "doc_id").join(linked, "node")
     least = group.groupBy("component").agg(F.min("doc_id").alias("least"))
