@@ -8,14 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows of a few numbers each; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-#: Text is taken in pieces of about this many bytes, so that a worker's arrays stay small.
-PIECE_BYTES = 512 << 10
+#: Text is taken in pieces of about this many bytes and at most so many rows, so that a worker's arrays stay small.
+PIECE_BYTES, PIECE_ROWS = 512 << 10, 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +42,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df, a stored table, for broadcasting if it has no more than that many rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Mark df, a stored table, for broadcasting if it has no more than that many rows, each counting for its weight if that is given; else leave the join to shuffle."""
+    total = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= rows else df
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -66,15 +67,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about `most` bytes of text; a longer row is a run of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of up to `rows` rows with about `most` bytes of text; a longer row is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = text_buffer(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
+            to = max(at + 1, min(at + rows, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 

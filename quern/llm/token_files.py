@@ -26,8 +26,8 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Stretches that a worker remembers with their ids; hashing goes through this many bytes of text at once.
 KNOWN, HASH_BYTES = 800_000, 128 << 10
-#: Text whose stretches are looked up together.
-PIECE = 4 << 20
+#: Text whose stretches are looked up together: bytes and rows.
+PIECE, PIECE_ROWS = 4 << 20, 16_384
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -174,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for part in pieces(batches, most=PIECE):
+        for part in pieces(batches, most=PIECE, rows=PIECE_ROWS):
             ids, n = encoder.encode(*text_buffer(part.column("text")), end_id)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
@@ -215,7 +215,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     cut = F.split("file", "\t")
     facts = materialize(facts.withColumns({"file": cut[0], "row": cut[1].cast("long")}), "index")
     files = facts.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # one row per file
-    files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # one row per file, by the number of the partition that it came from: as text, the 100,000th would stand before the second
+    place = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(place, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     here = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     return facts.withColumn("here", F.coalesce(here, F.lit(0))).join(files, "file").select("doc_id", (F.col("before") + F.col("here")).alias("start"), "n_tokens", "ids_crc32", "file")
