@@ -86,7 +86,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     # the texts that have a place, read again: few, so that their words need not be carried through a shuffle
     lists = materialize(places.groupBy("doc_id", "k").agg(F.collect_list(F.struct("n", "start")).alias("at")), "lists")
-    again = docs.join(small(lists), "doc_id").select("doc_id", "k", "at", _words(F.col("text")).alias("w"))
+    again = docs.join(small(lists, weight=F.size("at") + 1), "doc_id").select("doc_id", "k", "at", _words(F.col("text")).alias("w"))
     windows = None
     for width in widths:
         one = again.where(F.col("k") == width).withColumn("g", _shingles(width)).select("doc_id", "k", "g", F.explode("at").alias("at"))
