@@ -80,6 +80,25 @@ def test_near_duplicates_odd_ids_and_no_rows(spark):
     assert minhash.near_duplicates(docs(spark)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_different_texts(spark):
+    one, two = words(20), words(20, 100)
+    near = lambda t: t + " end"
+    for rows in ([(1, one), (1, two), (2, near(one)), (3, near(two))], [(1, two), (1, one), (2, near(one)), (3, near(two))]):
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_pieces():
+    import pyarrow as pa
+
+    from quern.llm.shared import pieces
+
+    batch = pa.record_batch([pa.array([None, "", *"abc", "d" * 100, *"efg"])], names=["text"])
+    parts = list(pieces(iter([batch, batch.slice(0, 0)]), most=10, rows=2))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 1, 2, 1]
+    assert pa.Table.from_batches(parts).combine_chunks()["text"].to_pylist() == batch["text"].to_pylist()
+
+
 def test_connected_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, 2), (200, 201), (200, 201)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

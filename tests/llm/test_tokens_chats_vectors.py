@@ -57,6 +57,28 @@ def test_token_files_without_rows_or_ids(spark):
     assert got == [(-1, 0, 2), (3, 2, 0), (3, 2, 1), (3, 3, 1)]
 
 
+def test_token_files_of_many_partitions(spark):
+    """Files count on past part-99999."""
+    import glob
+    import os
+
+    path = new_path(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_tokens(spark.createDataFrame([(i, f"w {i}") for i in range(40)], "doc_id long, text string"), path, BPE, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(f"{path.removeprefix('file://')}/part-*"))
+    assert len(files) > 1
+    for n, f in enumerate(files):
+        folder, name = os.path.split(f)
+        os.rename(f, f"{folder}/part-{100_001 - len(files) + n:05}{name[10:]}")
+    start = 0
+    for r in token_files.token_index(spark, path).orderBy("doc_id").collect():
+        assert r.start == start
+        start += r.n_tokens
+
+
 COUNT = token_counts.counter(RANKS, queries.PRETOKENS)
 
 
@@ -214,6 +236,8 @@ def test_nearest_odd_vectors(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         by.setdefault(r.query_id, []).append(r.vec_id)
     assert by == {0: [1, 2, 3, 4, 5], 299: [0, 1, 2, 3, 4], 300: [301, 0, 1, 2, 3]}
+    parted = ann.nearest(table, table.where("vec_id in (0, 299, 300, 1000, 1003)"), block_rows=40, query_rows=2, rerank=8).collect()
+    assert sorted(parted) == sorted(got)
     few = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2)]
     assert ann.nearest(few.limit(0), few).count() == 0 and ann.nearest(few, few.limit(0)).count() == 0
