@@ -272,6 +272,23 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs(spark), "key").count() == 0
 
 
+def test_pipeline_links_near_duplicates_from_a_similarity_of_80(spark):
+    import corpus_pipeline
+
+    base = words(26).split()
+    texts = [
+        " ".join(base),
+        " ".join([*base[:-2], "new", "end"]),  # 20 shared shingles of 24 in all
+        words(24, 100),
+        " ".join([words(24, 100), words(5, 900)]),  # 20 of 25
+        words(23, 200),
+        " ".join([words(23, 200), words(5, 950)]),  # 19 of 24
+    ]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, *texts), SF).collect()}
+    assert kept == {least for _, least in brute_components(texts, 80).values()} == {0, 2, 4, 5}
+    assert {least for _, least in brute_components(texts, 85).values()} == set(range(6))
+
+
 def test_pseudonyms_are_a_permutation(spark):
     numbers = docs(spark, *(f"{i // 250}.{i % 250}.7.9" for i in range(3000)))
     made = [r.text for r in pii.pseudonymise(numbers, "key").collect()]
