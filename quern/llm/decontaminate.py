@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Words are runs of letters and digits, lower-cased; shingles are five of them (a
-shorter item is one shingle). For each benchmark item, windows of as many words
-as it has are taken where the text has one of its shingles, aligned by it: a window
-with none has a similarity of 0, so none that could count is missed. A window's 64-bit
+shorter item is one shingle). For each number of words that items have, every window of as
+many words is taken that has enough shingles of such items, wherever they stand in it: a
+similarity of SIMILARITY needs that many in common, so none that could count is left out. A window's 64-bit
 SimHash is cut into RADIUS + 1 blocks; fingerprints within RADIUS bits agree in one
 block at least, so windows and items of a size meet under (block, value), are held
 to RADIUS by the bits that differ, and are then verified exactly: the similarity of
@@ -54,6 +54,21 @@ def _similarity(a: str, b: str) -> Column:
     return F.expr(f"cast({both} as double) / (size({a}) + size({b}) - {both})")
 
 
+def _starts(similarity: float) -> Column:
+    """The starts of all windows of n words that can reach the similarity, from the ordered places ps of a text's shingles that items of the size have.
+
+    A window of `a` shingles and an item of m have similarity * (a + m) / (1 + similarity) in common at least. Each
+    window is found at the first of ps in it: from behind the place before, and not so early that too few are in reach.
+    """
+    m, last = "(n - k + 1)", "greatest(0, all - n)"
+    a = f"least({m}, all - k + 1)"
+    need = f"greatest(1, cast(ceil({similarity!r}D * ({a} + {m}) / (1 + {similarity!r}D) - 1e-9D) as int))"
+    lo = f"greatest(coalesce(get(ps, i - 1) + 1, 0), get(ps, i + {need} - 1) - {a} + 1)"
+    hi = f"least(ps[i], {last})"
+    found = f"if(get(ps, i + {need} - 1) is null or {lo} > {hi}, cast(array() as array<int>), sequence({lo}, {hi}))"
+    return F.expr(f"flatten(transform(sequence(0, size(ps) - 1), i -> {found}))")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity) for each document of docs (doc_id, text) and item of benchmark (item_id, text) that it holds, by its best window; start counts words from 0.
 
@@ -72,7 +87,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     widths = [r[0] for r in items.select("k").distinct().collect()]  # five values at most
     if not widths:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start int, n_words int, distance int, similarity double")
-    seeds = items.select("k", "n", F.posexplode("g").alias("q", "x")).distinct()
+    seeds = items.select("k", "n", F.explode("g").alias("x")).distinct()
     seeds = small(materialize(seeds, "seeds"))
 
     words = docs.select("doc_id", _words(F.col("text")).alias("w"))
@@ -80,13 +95,14 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     for width in widths:
         one = words.select("doc_id", F.size("w").alias("all"), F.lit(width).alias("k"), F.posexplode(_shingles(width)).alias("p", "x"))
         every = one if every is None else every.unionByName(one)
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("all") - F.col("n")))
-    places = every.join(seeds, ["k", "x"]).select("doc_id", "k", "n", start.alias("start")).distinct()
+    # rows with the same doc_id and number of words share their places, so each has a few windows too many at most
+    places = every.join(seeds, ["k", "x"]).groupBy("doc_id", "all", "k", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    places = places.select("doc_id", "all", "k", "n", F.explode(_starts(similarity)).alias("start"))
     places = materialize(places, "places")
 
     # the texts that have a place, read again: few, so that their words need not be carried through a shuffle
-    lists = materialize(places.groupBy("doc_id", "k").agg(F.collect_list(F.struct("n", "start")).alias("at")), "lists")
-    again = docs.join(small(lists, weight=F.size("at") + 1), "doc_id").select("doc_id", "k", "at", _words(F.col("text")).alias("w"))
+    lists = materialize(places.groupBy("doc_id", "all", "k").agg(F.collect_list(F.struct("n", "start")).alias("at")), "lists")
+    again = docs.join(small(lists, weight=F.size("at") + 1), "doc_id").select("doc_id", "all", "k", "at", _words(F.col("text")).alias("w")).where("size(w) = all")
     windows = None
     for width in widths:
         one = again.where(F.col("k") == width).withColumn("g", _shingles(width)).select("doc_id", "k", "g", F.explode("at").alias("at"))

@@ -157,6 +157,35 @@ def test_decontamination_against_all_windows(spark):
     assert got == pytest.approx(want) and want
 
 
+def test_decontamination_of_reordered_passages(spark):
+    """Parts in another order inside longer texts, held against every window and item by plain counting."""
+    from collections import Counter
+
+    def grams(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    long, other, pad = words(59).split(), words(45, 200).split(), words(30, 900).split()
+    texts = [
+        [*pad, *long[30:], *long[:30], *pad],
+        [*pad, *long[50:], *long[:50], *pad],
+        [*pad, *other[22:], *other[:22], *pad],
+        [*long[29:], *long[:29]],
+        [*pad, *long[:40], *pad],
+        [*pad, "new", "start", *long[2:], *pad, *long[30:], *long[:30]],
+        long[:50],
+    ]
+    items = {1: long, 2: other}
+    want = {}
+    for (d, w), (i, item) in itertools.product(enumerate(texts), items.items()):
+        n, b = len(item), grams(item)
+        sims = [(sum((a & b).values()) / sum((a | b).values()), -s) for s in range(max(1, len(w) - n + 1)) if (a := grams(w[s : s + n]))]
+        if max(sims)[0] >= 0.8:
+            want[d, i] = max(sims)
+    got = decontaminate.find(docs(spark, *map(" ".join, texts)), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in got} == {k: (pytest.approx(a), b) for k, (a, b) in want.items()}
+    assert {d for d, _ in want} == {0, 1, 2, 3, 5, 6}
+
+
 def test_source_targets():
     even = mixing.source_targets({"c": 100, "a": 100, None: 100, "b": 100})
     assert even == {"a": 200.0, None: 200.0, "b": pytest.approx(200 * 2 / 3), "c": pytest.approx(200 / 3)}
