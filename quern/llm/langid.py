@@ -4,8 +4,9 @@ A text becomes a vector of hashed byte bigrams and trigrams (A-Z folded, digits
 and ASCII punctuation left out), damped by square root, weighed by inverse document frequency and normalised. Each
 language's sample is clustered by spherical k-means into CENTROIDS directions; a
 text takes the language of the centroid with the largest cosine. It is rejected
-if that cosine is below a share of the lowest cosine that the language's own sample
-reached, which is where no known language is near.
+if that cosine is below a share of what beginnings of about as many n-grams of the
+language's own sample reach, but for the lowest few, which is where no known language
+is near. So junk in the sample sets no bound, and short texts have lower ones.
 
 The classifier is fitted on at most SAMPLE labelled rows, dealt evenly to the
 languages; it is a few megabytes and is broadcast. Prediction reads every text whole.
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,15 @@ from quern.llm.shared import pieces, text_buffer
 DIMENSIONS = 4096
 SAMPLE = 3200
 CENTROIDS = 4
-REJECT = 0.2
+#: A text is rejected below REJECT times the QUANTILE of the cosines of beginnings of its size.
+REJECT = 0.5
+QUANTILE = 0.05
+#: Characters in the beginnings of sampled texts that set the bounds; whole texts count too.
+CUTS = [2**j for j in range(1, 14)]
+#: Sizes in n-grams, by powers of two; the last holds all above.
+SIZES = 16
+#: A size of fewer texts sets no bound, if there is one of as many.
+FEW = 40
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.int64)
@@ -59,8 +69,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def _sizes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of n-grams that the vectors x count, and the power of two below."""
+    n = np.square(x, dtype=np.float64).sum(1).round()
+    return n, np.minimum(np.log2(np.maximum(n, 1)).astype(int), SIZES - 1)
+
+
 @dataclass
 class Model:
+    """least: by language and size, the cosine below which a text is rejected; one without an n-gram has nothing against it."""
+
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
@@ -74,12 +92,14 @@ class Model:
         letter = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-        near = _unit(vectors(column, len(self.idf)) * self.idf) @ self.centroids.T
+        x = vectors(column, len(self.idf))
+        near = _unit(x * self.idf) @ self.centroids.T
         best = near.argmax(1)
         lang = self.owner[best]
         score = np.where(letter, np.clip(near[np.arange(n), best], 0, 1), 0).astype(np.float64)
         names = [self.languages[k] if ok else UNKNOWN for k, ok in zip(lang, letter, strict=True)]
-        return names, score, ~letter | (score < self.least[lang])
+        grams, size = _sizes(x)
+        return names, score, ~letter | (score < np.where(grams > 0, self.least[lang, size], 0))
 
 
 def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -95,12 +115,47 @@ def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _measure(model: Model):
+    """(lang, size, cosine) of each labelled text's beginnings and the whole text, with its own language's centroids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            text, y = part.column("text"), np.array([model.languages.index(v) for v in part.column("lang").to_pylist()])
+            length = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+            for cut in [*CUTS, None]:
+                ok = length > (cut or 0)
+                x = vectors(text if cut is None else pc.utf8_slice_codeunits(text, 0, cut))
+                grams, size = _sizes(x)
+                near = _unit(x * model.idf) @ model.centroids.T
+                cosine = np.where(model.owner == y[:, None], near, -1).max(1).astype(np.float64)
+                ok &= grams > 0
+                yield pa.RecordBatch.from_arrays([pa.array(y[ok], pa.int32()), pa.array(size[ok], pa.int32()), pa.array(cosine[ok])], names=["lang", "size", "cosine"])
+
+    return run
+
+
+def _bounds(rows: list, languages: int, reject: float) -> np.ndarray:
+    """By language and size; none is above that of a larger size, and sizes of too few texts take that of the next larger, else the next smaller."""
+    lang, size, cosine = (np.array([r[c] for r in rows]) for c in ("lang", "size", "cosine"))
+    out = np.zeros((languages, SIZES))
+    for k in range(languages):
+        low, last = np.full(SIZES, np.inf), 0.0
+        of = [cosine[(lang == k) & (size == j)] if len(rows) else [] for j in range(SIZES)]
+        least = min(FEW, max(1, *map(len, of)))
+        for j in range(SIZES):
+            if len(of[j]) >= least:
+                low[j] = last = reject * max(0.0, np.quantile(of[j], QUANTILE))
+        low[-1] = min(low[-1], last)
+        out[k] = np.minimum.accumulate(low[::-1])[::-1]
+    return out
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject: float = REJECT, seed: int = 5) -> Model:
     """Fit on labelled (doc_id, text, lang): rows with a null text or lang teach nothing. No rows: a model that knows no language."""
     known = labelled.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(sample).collect()}
     if not counts:
-        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
+        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, SIZES)))
     each = max(1, sample // len(counts))
     # keep a little over `each` rows of a language by hash before any are ranked
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.3 * (each + 30) / n))])
@@ -123,9 +178,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
     parts = [_cluster(x[y == k], centroids, seed) for k in range(len(languages)) if (y == k).any()]
     owner = np.concatenate([[k] * len(p) for k, p in zip((k for k in range(len(languages)) if (y == k).any()), parts, strict=True)])
     c = np.concatenate(parts).astype(np.float32)
-    near = x @ c.T
-    least = np.array([reject * near[y == k][:, owner == k].max(1).min() if (y == k).any() else 1.0 for k in range(len(languages))])
-    return Model(languages, idf, c, owner, least)
+    model = Model(languages, idf, c, owner, np.zeros((len(languages), SIZES)))
+    measured = some.select("lang", "text").mapInArrow(_measure(model), "lang int, size int, cosine double").collect()
+    model.least = _bounds(measured, len(languages), reject)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -278,6 +278,30 @@ def test_languages(spark):
     assert langid.identify(docs(spark), model).count() == 0
 
 
+def test_languages_that_are_unknown(spark):
+    """Long texts in other languages of the same letters are rejected, also where a language's sample has junk; short ones in known languages stay."""
+    other = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek",
+    ]
+    known = [
+        "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood",
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen",
+        "the cat",
+        "und der Hund",
+        "A.",
+    ]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1 - i, t, lang) for lang in ("de", "en", "es", "fr") for i, t in enumerate(["A.", "q", "zq"])], table.schema)
+    model = langid.train(table.unionByName(junk))
+    found = {r.doc_id: r.rejected for r in langid.identify(docs(spark, *other, *known), model).collect()}
+    assert found == {i: i < len(other) for i in range(len(other) + len(known))}
+    assert (model.least[:, 8:] > 0.1).all() and (model.least[:, :3] < 0.1).all()
+    assert not any(r.rejected for r in langid.identify(table.where("length(text) > 0"), model).collect() if re.search(r"[^\W\d_]", r.text))
+
+
 def luhn(x):
     return sum((int(c) * 2 // 10 + int(c) * 2 % 10) if i % 2 else int(c) for i, c in enumerate(reversed(x))) % 10 == 0
 
