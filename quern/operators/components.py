@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import Workspace
+from quern.storage import BROADCAST_ROWS as _WIDE, Workspace
+
+#: Ids are strings as long as a digest, so fewer of them are broadcast than of numbers.
+BROADCAST_ROWS = _WIDE // 4
 
 #: Links that the driver may hold; more are worked on by Spark.
 DRIVER_LINKS = 100_000
+#: A node with more links than this is joined apart from the others, so that no task gets all of its links.
+HOT_LINKS = 1_000
 
 
 def local_roots(links: Iterable[tuple[str, str]]) -> dict[str, str]:
@@ -31,33 +37,62 @@ def local_roots(links: Iterable[tuple[str, str]]) -> dict[str, str]:
     return {x: r for x in list(parent) if (r := find(x)) != x}
 
 
-def distributed_roots(links: DataFrame, space: Workspace) -> DataFrame:
-    """(id, root) as local_roots, by alternating large-star and small-star steps on tables of links (a, b)."""
+def _with_least(near: DataFrame, space: Workspace, hot_links: int) -> DataFrame:
+    """near (u, v) with m, the least of u and all its v.
+
+    The minimum is pre-aggregated before its shuffle. Nodes of over hot_links links meet
+    theirs in a broadcast, so their links stay where they are; there are at most
+    links / hot_links of them, and that number is checked: the bound goes up until they fit.
+    """
+    least, facts = space.measured(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least", hot=F.col("n") > hot_links)
+    if facts["n"] <= BROADCAST_ROWS:
+        return near.join(F.broadcast(least.select("u", "m")), "u")
+    if not facts["hot"]:
+        return near.join(least.select("u", "m"), "u")
+    while facts["hot"] > BROADCAST_ROWS:
+        hot_links *= 10
+        facts["hot"] = least.where(F.col("n") > hot_links).count()
+    hot = F.broadcast(least.where(F.col("n") > hot_links).select("u", "m"))
+    cool = near.join(F.broadcast(least.where(F.col("n") > hot_links).select("u")), "u", "left_anti").join(least.where(F.col("n") <= hot_links).select("u", "m"), "u")
+    return near.join(hot, "u").unionByName(cool)
+
+
+def distributed_roots(links: DataFrame, space: Workspace, hot_links: int = HOT_LINKS) -> DataFrame:
+    """(id, root) as local_roots for links (a, b) of any ordered type, by alternating large-star and small-star steps on tables of links.
+
+    Links to itself and repeated links are ignored; rows with nulls are dropped. No
+    links, no rows. The driver sees only whether all links are stars; that is asked by
+    one pre-aggregated count by node, so no round is spent on seeing that nothing changes.
+    """
 
     def large(edges: DataFrame) -> DataFrame:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        return _with_least(near, space, hot_links).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
     def small(edges: DataFrame) -> DataFrame:
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        pairs = edges.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        return pairs.where("a <> b").distinct()
+        near = _with_least(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), space, hot_links)
+        return near.select(F.col("m").alias("a"), F.explode(F.array("v", "u")).alias("b")).where("a <> b")
+
+    def stars(edges: DataFrame) -> bool:
+        """Whether each node is either a centre or on one link as its end."""
+        places = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("held")), F.struct(F.col("b").alias("node"), F.lit(1).alias("held")))
+        ends = edges.select(F.explode(places).alias("x")).groupBy("x.node").agg(F.min("x.held").alias("least"), F.sum("x.held").alias("n"))
+        return ends.where("n > 1 or n = 1 and least = 0").isEmpty()
 
     edges = space.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    mark = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark or not now[0]:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
-        mark = now
-        edges = space.save(small(large(edges)), "stars")
-
-
-def roots(links: DataFrame, space: Workspace, driver_links: int = DRIVER_LINKS) -> tuple[DataFrame, int]:
-    """(id, root) of links (a, b), a stored table, and how many ids have another root. Ties: the least id is the root."""
-    if links.limit(driver_links + 1).count() <= driver_links:
-        found = local_roots((r[0], r[1]) for r in links.collect())
-        return space.spark.createDataFrame(sorted(found.items()), "id string, root string"), len(found)
-    table = distributed_roots(links, space)
-    return table, table.count()
+    while not stars(edges):
+        edges = space.save(small(space.save(large(edges).distinct(), "stars")).distinct(), "stars")
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
+
+
+def roots(links: DataFrame, space: Workspace, driver_links: int = DRIVER_LINKS) -> tuple[DataFrame, int, str]:
+    """(id, root) of links (a, b) between strings, how many ids have another root, and the least such id. Ties: the least id is the root."""
+    some = links.limit(driver_links + 1).collect()
+    if len(some) <= driver_links:
+        found = sorted(local_roots((r[0], r[1]) for r in some).items())
+        ids = [x for x, _ in found]
+        table = pa.table({"id": pa.array(ids, pa.string()), "root": pa.array([r for _, r in found], pa.string())})
+        return space.spark.createDataFrame(table), len(found), min(ids, default="")
+    table = distributed_roots(space.save(links, "linked"), space)
+    n, least = table.agg(F.count("*"), F.min("id")).first()
+    return table, n, least or ""

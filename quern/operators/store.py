@@ -1,27 +1,37 @@
 """A function's table: rows (c0, c1, ..., out, _e), unique in its inputs, kept as parts of known epochs.
 
-Rows are only ever appended, as one more part, unless outputs changed; then the
-rows replaced leave the older parts. _e is the epoch in which a row's present version
-was written, so ranges of epochs are mostly whole parts and need no filter.
+Parts are only ever added. _e is the epoch in which a row's present version was
+written, so ranges of epochs are mostly whole parts and need no filter. A row whose
+output or ids change is written anew in a later part, and its inputs are noted as dead
+for the parts so far: reading leaves them out there. Parts of like size are written
+together now and then, so a row is rewritten about as often as the table has doubled.
+
+What a table holds already is looked up from the side of the new rows: up to
+BROADCAST_ROWS of them are sent to where the table lies, which is read but not shuffled.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.catalog import spark_type
 from quern.errors import ProgramError
 from quern.functions.merges import Merge, fold_column
-from quern.storage import Workspace
+from quern.operators.components import BROADCAST_ROWS
+from quern.storage import LOCAL_ROWS, Workspace
 from quern.syntax import BASE_TYPES, Function
 
-#: Parts beyond which the older ones are written together.
+#: Parts beyond which some of the older ones are written together.
 MOST_PARTS = 6
+#: A table of up to so many rows is joined as it is.
+FEW_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -30,6 +40,24 @@ class Part:
     first: int  # epochs
     last: int
     count: int
+    number: int
+    local: pa.Table | None = None  # the rows, if the driver has them
+
+
+@dataclass(frozen=True)
+class Dead:
+    """Inputs whose rows in the parts numbered since to upto count no more; fresh of them were written in this epoch."""
+
+    keys: DataFrame
+    count: int
+    fresh: int
+    epoch: int
+    since: int
+    upto: int
+    local: pa.Table | None = None
+
+    def covers(self, p: Part) -> bool:
+        return self.since <= p.number <= self.upto
 
 
 @dataclass(frozen=True)
@@ -47,97 +75,176 @@ class FunctionTable:
         self.kinds = [*f.inputs, f.output]
         fields = [T.StructField(c, spark_type(k)) for c, k in zip([*self.keys, "out"], self.kinds, strict=True)]
         self.schema = T.StructType([*fields, T.StructField("_e", T.LongType())])
+        types = {"boolean": pa.bool_(), "bigint": pa.int64()}
+        self._arrow = pa.schema([(f.name, types.get(f.dataType.simpleString(), pa.string())) for f in self.schema])
         self.parts: list[Part] = []
+        self.dead: list[Dead] = []
+        self.live = 0
+        self._number = 0
+
+    @property
+    def state(self) -> tuple:
+        """What a failed step puts back."""
+        return list(self.parts), list(self.dead), self.live
+
+    @state.setter
+    def state(self, kept: tuple) -> None:
+        self.parts, self.dead, self.live = kept
 
     # reading
 
-    def _union(self, frames: list[DataFrame]) -> DataFrame:
-        if not frames:
-            return self.space.spark.createDataFrame([], self.schema)
-        return reduce(DataFrame.unionByName, frames)
+    def _rows_of(self, parts: list[tuple[Part, DataFrame]]) -> DataFrame:
+        """The living rows among those of parts."""
+        if not parts:
+            return self.space.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
+        by: dict[tuple[int, ...], list[DataFrame]] = {}
+        for p, df in parts:
+            by.setdefault(tuple(i for i, d in enumerate(self.dead) if d.covers(p)), []).append(df)
+        out = []
+        for at, frames in by.items():
+            df = reduce(DataFrame.unionByName, frames)
+            if at:
+                gone = reduce(DataFrame.unionByName, (self.dead[i].keys for i in at))
+                if sum(self.dead[i].count for i in at) <= BROADCAST_ROWS:
+                    gone = F.broadcast(gone)
+                df = df.join(gone, self.keys, "left_anti") if self.keys else df.where("false")
+            out.append(df)
+        return reduce(DataFrame.unionByName, out)
 
     def count(self, lo: int = 0, hi: int | None = None) -> int:
-        """Rows in parts that reach into epochs lo to hi - 1: exact for ranges that parts keep to, else an upper bound."""
-        return sum(p.count for p in self.parts if p.last >= lo and (hi is None or p.first < hi))
+        """Rows of epochs lo to hi - 1: exact for all rows and for the last epoch, else an upper bound."""
+        if not lo and hi is None:
+            return self.live
+        n = sum(p.count for p in self.parts if p.last >= lo and (hi is None or p.first < hi))
+        return n - sum(d.fresh for d in self.dead if d.epoch >= lo and (hi is None or d.epoch < hi))
 
     def rows(self, lo: int = 0, hi: int | None = None) -> DataFrame:
         """The live rows of epochs lo to hi - 1."""
         out = []
         for p in self.parts:
-            if p.last < lo or (hi is not None and p.first >= hi) or not p.count:
+            if p.last < lo or (hi is not None and p.first >= hi):
                 continue
             df = p.rows
             if p.first < lo:
                 df = df.where(F.col("_e") >= lo)
             if hi is not None and p.last >= hi:
                 df = df.where(F.col("_e") < hi)
-            out.append(df)
-        return self._union(out)
+            out.append((p, df))
+        return self._rows_of(out)
 
     # writing
 
-    def _append(self, rows: DataFrame, epoch: int) -> int:
-        saved = self.space.save(rows.select(*[f.name for f in self.schema]), self.f.name if self.f.name.isalnum() else "rows")
-        n = saved.count()
+    def _append(self, rows: DataFrame, n: int, epoch: int, local: pa.Table | None = None) -> int:
+        """Add a part of n stored rows (c0.., out), which the driver may have as well."""
         if n:
-            self.parts.append(Part(saved, epoch, epoch, n))
-            if len(self.parts) > MOST_PARTS:
-                old = self.parts[:-1]
-                whole = self.space.save(self._union([p.rows for p in old]).coalesce(max(1, self.space.spark.sparkContext.defaultParallelism)), "whole")
-                self.parts = [Part(whole, min(p.first for p in old), max(p.last for p in old), sum(p.count for p in old)), self.parts[-1]]
+            self._number += 1
+            if local is None and n <= LOCAL_ROWS:
+                local = rows.select(*self.keys, "out").toArrow()
+                rows = self.space.spark.createDataFrame(local, T.StructType(self.schema.fields[:-1]))
+            if local is not None:
+                local = local.select([*self.keys, "out"]).append_column("_e", pa.array([epoch] * n, pa.int64())).cast(self._arrow)
+            stamped = rows.select(*self.keys, "out", F.lit(epoch).cast("long").alias("_e"))
+            self.parts.append(Part(stamped, epoch, epoch, n, self._number, local))
+            self.live += n
+            self._compact(epoch)
         return n
 
-    def _drop(self, keys: DataFrame) -> None:
-        """Take the rows with these keys out of all parts."""
-        parts = []
-        for p in self.parts:
-            left = self.space.save(p.rows.join(keys, self.keys, "left_anti") if self.keys else p.rows.where("false"), "left")
-            n = left.count()
-            if n:
-                parts.append(Part(left, p.first, p.last, n))
-        self.parts = parts
-
-    def _join(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        """A join on all inputs; functions without inputs have one row at most."""
-        if self.keys:
-            return left.join(right, self.keys, how)
-        if how == "left_anti":
-            return left.join(right, F.lit(True), "left_anti")
-        return left.join(right, F.lit(True), how)
-
-    def upsert(self, new: DataFrame, epoch: int) -> Change:
-        """Add contributions (c0.., out[, ord]), a bag; ord is their order of arrival where the merge depends on it."""
+    def _kill(self, keys: DataFrame, n: int, fresh: int, epoch: int, since: int = 0, local: pa.Table | None = None) -> None:
+        """Take the rows with these stored keys, n in number, out of the parts so far."""
+        if n:
+            self.dead.append(Dead(keys.select(*self.keys), n, fresh, epoch, since, self._number, None if local is None else local.select(self.keys).cast(pa.schema([self._arrow.field(c) for c in self.keys]))))
+            self.live -= n
+
+    def _compact(self, epoch: int) -> None:
+        """Write older parts together: the last ones of like size, or all if many of their rows are dead."""
+        old = [p for p in self.parts if p.last < epoch]
+        dead = sum(d.count for d in self.dead)
+        local = all(x.local is not None for x in (*old, *self.dead)) and sum(p.count for p in old) <= LOCAL_ROWS
+        if local and len(old) + len(self.dead) > 1:
+            return self._merge(old, self._merged_locally(old) if old else None)
+        if len(old) < MOST_PARTS and len(self.dead) < MOST_PARTS and dead <= max(self.live, FEW_ROWS) or not old:
+            return
+        if len(self.dead) >= MOST_PARTS or dead > self.live:
+            some = old
+        else:
+            at, total = len(old) - 1, old[-1].count
+            while at and (old[at - 1].count <= 2 * total or at == len(old) - 1):
+                at -= 1
+                total += old[at].count
+            some = old[at:]
+        self._merge(some)
+
+    def _merged_locally(self, some: list[Part]) -> pa.Table:
+        """The living rows of parts that the driver has."""
+        out = []
+        for p in some:
+            rows = p.local
+            for d in self.dead:
+                if d.covers(p):
+                    rows = rows.join(d.local, self.keys, join_type="left anti") if self.keys else rows.slice(0, 0)
+            out.append(rows.select(self.schema.names))
+        return pa.concat_tables(out)
+
+    def _merge(self, some: list[Part], local: pa.Table | None = None) -> None:
+        """Make one part of some."""
+        if not some:
+            return
+        if local is not None:
+            whole, n = self.space.spark.createDataFrame(local, self.schema), local.num_rows
+        else:
+            rows, total = self._rows_of([(p, p.rows) for p in some]), sum(p.count for p in some)
+            if total <= FEW_ROWS:
+                rows = rows.coalesce(max(1, min(self.space.spark.sparkContext.defaultParallelism, total // 10_000 + 1)))
+            whole, facts = self.space.measured(rows, "whole")
+            n = facts["n"]
+        numbers = {p.number for p in some}
+        merged = Part(whole, min(p.first for p in some), max(p.last for p in some), n, max(numbers), local)
+        left = [p for p in self.parts if p.number not in numbers]
+        self.parts = sorted([*left, *([merged] if n else [])], key=lambda p: p.number)
+        self.dead = [replace(d, fresh=0 if merged.last >= d.epoch else d.fresh) for d in self.dead if any(d.covers(p) for p in left)]
+
+    def _lookup(self, delta: DataFrame, few: bool) -> DataFrame:
+        """delta, distinct in its keys, with _old and _was, output and epoch of the row that is there, or null."""
+        now = self.rows().select(*self.keys, F.col("out").alias("_old"), F.col("_e").alias("_was"))
+        if not self.live:
+            return delta.withColumns({"_old": F.lit(None).cast(self.schema["out"].dataType), "_was": F.lit(None).cast("long")})
+        if not self.keys:
+            return delta.join(now, F.lit(True), "left")
+        if self.live > FEW_ROWS:
+            delta, facts = self.space.measured(delta, "delta", few)
+            if facts["n"] <= BROADCAST_ROWS:
+                now = now.join(F.broadcast(delta.select(*self.keys)), self.keys, "left_semi")
+        return delta.join(now, self.keys, "left")
+
+    def upsert(self, new: DataFrame, epoch: int, few: bool = False) -> Change:
+        """Add contributions (c0.., out[, ord]), a bag; ord is their order of arrival where the merge depends on it. few: not many are expected."""
         kind = self.merge.kind
-        has = bool(self.parts)
-        now = self.rows()
-        stamp = F.lit(epoch).cast("long").alias("_e")
+        old = F.col("_old")
         if kind == "relation":
-            fresh = new.select(*self.keys, "out").distinct()
-            if has:
-                fresh = self._join(fresh, now.select(*self.keys), "left_anti")
-            return Change(self._append(fresh.select("*", stamp), epoch))
+            found = self._lookup(new.select(*self.keys, "out").distinct(), few).where(old.isNull()).select(*self.keys, "out")
+            saved, facts = self.space.measured(found, self._name, few)
+            return Change(self._append(saved, facts["n"], epoch, facts["table"]))
         if kind == "union":
-            return self._upsert_union(new, now, epoch, has)
-        summed = self._summed(new)
-        if has:
-            summed = self._join(summed, now.select(*self.keys, F.col("out").alias("_old")), "left")
-        else:
-            summed = summed.withColumn("_old", F.lit(None).cast(self.schema["out"].dataType))
-        old = F.col("_old")
+            return self._upsert_union(new, epoch, few)
+        summed = self._lookup(self._summed(new), few)
         if kind == "same":
-            bad = (F.col("_lo") != F.col("_hi")) | (old != F.col("_lo"))
-            found = self.space.save(summed.select(*self.keys, F.col("_lo").alias("out"), "_hi", "_old", F.coalesce(bad, F.lit(False)).alias("_bad")), "same")
-            clash = found.where("_bad").orderBy(*self.keys, "out").limit(1).collect()
-            if clash:
-                r = clash[0]
+            bad = F.coalesce((F.col("_lo") != F.col("_hi")) | (old != F.col("_lo")), F.lit(False))
+            found = summed.select(*self.keys, F.col("_lo").alias("out"), "_hi", "_old", bad.alias("_bad"))
+            found, facts = self.space.measured(found.where(old.isNull() | F.col("_bad")), self._name, few, bad=F.col("_bad"))
+            if facts["bad"]:
+                r = found.where("_bad").orderBy(*self.keys, "out").first()
                 a, b = (r["_old"], r["out"]) if r["_old"] is not None and r["_old"] != r["out"] else (r["out"] if r["_old"] is None else r["_old"], r["_hi"])
                 raise ProgramError(f"{a} != {b} in {self.f.name}")
-            return Change(self._append(found.where("_old is null").select(*self.keys, "out", stamp), epoch))
-        value = self._merged(old)
-        found = self.space.save(summed.select(*self.keys, value.alias("out"), "_old").where(old.isNull() | (F.col("out") != old)), "merged")
-        if has and not found.where("_old is not null").isEmpty():
-            self._drop(found.where("_old is not null").select(*self.keys))
-        return Change(self._append(found.select(*self.keys, "out", stamp), epoch))
+            return Change(self._append(found, facts["n"], epoch, facts["table"]))
+        found = summed.select(*self.keys, self._merged(old).alias("out"), "_old", "_was").where(old.isNull() | (F.col("out") != old))
+        found, facts = self.space.measured(found, self._name, few, replaced=old.isNotNull(), fresh=F.col("_was") == epoch)
+        local = facts["table"]
+        self._kill(found.where(old.isNotNull()), facts["replaced"], facts["fresh"], epoch, local=None if local is None else local.filter(pc.is_valid(local["_old"])))
+        return Change(self._append(found, facts["n"], epoch, local))
+
+    @property
+    def _name(self) -> str:
+        return self.f.name if self.f.name.isalnum() else "rows"
 
     def _summed(self, new: DataFrame) -> DataFrame:
         """Contributions by key, pre-aggregated as far as the merge allows."""
@@ -161,7 +268,7 @@ class FunctionTable:
             return by.agg(F.max_by(out, F.col("ord")).alias("_v"))
         return by.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "out"))), lambda x: x["out"]).alias("_vs"))
 
-    def _merged(self, old):
+    def _merged(self, old: Column) -> Column:
         """The new output from _old, which may be null, and what _summed made."""
         kind, v = self.merge.kind, F.col("_v")
         if kind == "fold":
@@ -173,45 +280,40 @@ class FunctionTable:
         both = {"min": F.least(old, v), "sum": old + v, "product": old * v, "first": old, "last": v}[kind]
         return F.when(old.isNull(), v).otherwise(both)
 
-    def _upsert_union(self, new: DataFrame, now: DataFrame, epoch: int, has: bool) -> Change:
+    def _upsert_union(self, new: DataFrame, epoch: int, few: bool) -> Change:
         """Outputs that meet are linked; the row there, or else the least output, stays."""
-        new = new.select(*self.keys, "out").distinct()
-        if has:
-            new = self._join(new, now.select(*self.keys, F.col("out").alias("_old")), "left")
-        else:
-            new = new.withColumn("_old", F.lit(None).cast("string"))
-        own = Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))
-        met = self.space.save(new.withColumn("_root", F.coalesce("_old", F.min("out").over(own))), "met")
-        links = self.space.save(met.where("out <> _root").select(F.col("_root").alias("a"), F.col("out").alias("b")), "links")
-        fresh = met.where("_old is null and out = _root").select(*self.keys, "out", F.lit(epoch).cast("long").alias("_e"))
-        return Change(self._append(fresh, epoch), links)
-
-    def rename(self, dirty: DataFrame, sort: str, epoch: int, fresh_only: bool) -> DataFrame | None:
+        new = new.select(*self.keys, "out")
+        met = self._lookup(new.groupBy(*self.keys).agg(F.min("out").alias("_lo"), F.max("out").alias("_hi")), few)
+        met = met.select(*self.keys, F.coalesce("_old", "_lo").alias("out"), "_lo", "_hi", F.col("_old").isNull().alias("_fresh"))
+        met, facts = self.space.measured(met, self._name, few, fresh=F.col("_fresh"), moved=F.col("_lo") != F.col("out"), several=F.col("_lo") != F.col("_hi"))
+        links = []
+        if facts["moved"]:
+            links.append(met.where("_lo <> out").select(F.col("out").alias("a"), F.col("_lo").alias("b")))
+        if facts["several"]:
+            # keys with more than one new output: few, so their rows meet them where they are
+            several = met.where("_lo <> _hi").select(*self.keys, F.col("out").alias("_root"))
+            several = F.broadcast(several) if facts["several"] <= BROADCAST_ROWS else several
+            pairs = new.join(several, self.keys) if self.keys else new.join(several, F.lit(True))
+            links.append(pairs.where("out <> _root").select(F.col("_root").alias("a"), F.col("out").alias("b")))
+        n = self._append(met.where("_fresh"), facts["fresh"], epoch, None if facts["table"] is None else facts["table"].filter(facts["table"]["_fresh"]))
+        return Change(n, reduce(DataFrame.unionByName, links) if links else None)
+
+    def rename(self, dirty: DataFrame, sort: str, epoch: int, fresh_only: bool, few: bool = False) -> DataFrame | None:
         """Replace ids of a sort by their roots (dirty: id, root). The rows touched leave the table and are returned as contributions.
 
         fresh_only: no id of before this epoch changes, so older parts needn't be looked at.
         """
         columns = [c for c, k in zip([*self.keys, "out"], self.kinds, strict=True) if k == sort]
-        if not columns or sort in BASE_TYPES:
+        some = [p for p in self.parts if not fresh_only or p.last >= epoch]
+        if not columns or sort in BASE_TYPES or not some:
             return None
-        touched, parts = [], []
-        for p in self.parts:
-            if fresh_only and p.last < epoch:
-                parts.append(p)
-                continue
-            df = p.rows
-            for c in columns:
-                df = df.join(dirty.select(F.col("id").alias(c), F.col("root").alias(f"_r_{c}")), c, "left")
-            hit = reduce(lambda a, b: a | b, (F.col(f"_r_{c}").isNotNull() for c in columns))
-            moved = df.where(hit).select(*[F.coalesce(f"_r_{c}", c).alias(c) if c in columns else c for c in (*self.keys, "out")])
-            moved = self.space.save(moved, "moved")
-            n = moved.count()
-            if not n:
-                parts.append(p)
-                continue
-            touched.append(moved)
-            if n < p.count:
-                left = self.space.save(df.where(~hit).select(*p.rows.columns), "left")
-                parts.append(Part(left, p.first, p.last, p.count - n))
-        self.parts = parts
-        return reduce(DataFrame.unionByName, touched) if touched else None
+        df = self._rows_of([(p, p.rows) for p in some])
+        for c in columns:
+            df = df.join(dirty.select(F.col("id").alias(f"_i_{c}"), F.col("root").alias(f"_r_{c}")), F.col(c) == F.col(f"_i_{c}"), "left")
+        hit = reduce(lambda a, b: a | b, (F.col(f"_r_{c}").isNotNull() for c in columns))
+        moved = df.where(hit).select(*[F.coalesce(f"_r_{c}", c).alias(f"n_{c}") if c in columns else F.col(c).alias(f"n_{c}") for c in (*self.keys, "out")], *self.keys, "_e")
+        moved, facts = self.space.measured(moved, "moved", few, fresh=F.col("_e") == epoch)
+        if not facts["n"]:
+            return None
+        self._kill(moved, facts["n"], facts["fresh"], epoch, min(p.number for p in some), facts["table"])
+        return moved.select(*[F.col(f"n_{c}").alias(c) for c in (*self.keys, "out")])

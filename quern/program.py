@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+import warnings
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import suppress
 from dataclasses import dataclass, field
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from quern.catalog import Catalog, spark_type
 from quern.errors import ProgramError
 from quern.functions.merges import merge_of
 from quern.operators.actions import Effects, Head, check_action, lookups
-from quern.operators.components import DRIVER_LINKS, roots
+from quern.operators.components import BROADCAST_ROWS, DRIVER_LINKS, roots
 from quern.operators.store import FunctionTable
 from quern.plans.query import Query, analyse, build, empty, union_all, variants
-from quern.storage import Workspace
+from quern.storage import LOCAL_ROWS, Workspace
 
 
 @dataclass
@@ -133,6 +134,8 @@ class Program:
         compiled = CompiledRule(rule, query, len(self.rules))
         for a in rule.head:
             check_action(a, self.catalog, compiled.variables)
+        if not query.atoms:
+            warnings.warn(f"a rule without a call of a table never fires{f' in {rule.where}' if rule.where else ''}", stacklevel=2)
         self.rules.append(compiled)
 
     # facts
@@ -167,7 +170,7 @@ class Program:
                     plain.setdefault((a.name, type(a)), []).append((k, a))
             for group in plain.values():
                 head.give_literals(group, effects)
-            self._atomically(lambda: self._apply(effects))
+            self._atomically(lambda: self._apply(effects, len(facts) <= LOCAL_ROWS))
 
     def load(self, name: str, df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None) -> None:
         """Add a row of the function for each row of df: columns are its inputs and, if it isn't a relation or into a sort, its output.
@@ -203,48 +206,47 @@ class Program:
 
     def _atomically(self, step) -> None:
         """Do a step; if it fails, the tables are as before."""
-        kept = {n: list(t.parts) for n, t in self.tables.items()}
+        kept = {n: t.state for n, t in self.tables.items()}
         try:
             step()
         except (ProgramError, PySparkException, Py4JJavaError) as e:
-            for n, parts in kept.items():
-                self.tables[n].parts = parts
+            for n, state in kept.items():
+                self.tables[n].state = state
             raise (e if isinstance(e, ProgramError) else _told(e)) from e
 
     def _in_parallel(self, work: list) -> list:
-        """Results of functions without arguments; Spark runs their jobs side by side."""
+        """Results of functions without arguments; Spark runs their jobs side by side, under the caller's job group."""
         if len(work) < 2:
             return [w() for w in work]
         with ThreadPoolExecutor(self.threads) as pool:
-            return list(pool.map(lambda w: w(), work))
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(w)) for w in work]]
 
-    def _apply(self, effects: Effects) -> None:
-        """Upsert all contributions, then rebuild until no links are left."""
+    def _apply(self, effects: Effects, few: bool = False) -> None:
+        """Upsert all contributions, then rebuild until no links are left. few: not many are expected."""
         rows, links = dict(effects.rows), {s: list(x) for s, x in effects.links.items()}
         while True:
-            changes = self._in_parallel([lambda n=n, frames=frames: (n, self.tables[n].upsert(union_all(frames), self.epoch)) for n, frames in sorted(rows.items())])
+            changes = self._in_parallel([lambda n=n, frames=frames: (n, self.tables[n].upsert(union_all(frames), self.epoch, few)) for n, frames in sorted(rows.items())])
             for name, change in changes:
-                if change.links is not None and not change.links.isEmpty():
+                if change.links is not None:
                     links.setdefault(self.catalog.function(name).output, []).append(change.links)
             rows = {}
             for sort, frames in sorted(links.items()):
-                for name, moved in self._rename(sort, frames):
+                for name, moved in self._rename(sort, frames, few):
                     rows.setdefault(name, []).append(moved)
             links = {}
             if not rows:
                 return
 
-    def _rename(self, sort: str, frames: list[DataFrame]) -> list[tuple[str, DataFrame]]:
+    def _rename(self, sort: str, frames: list[DataFrame], few: bool) -> list[tuple[str, DataFrame]]:
         """Make linked ids one in all tables; the contributions that this takes out of them."""
-        links = self.space.save(union_all(frames), "linked")
-        dirty, n = roots(links, self.space, self.driver_links)
+        dirty, n, least = roots(union_all(frames), self.space, self.driver_links)
         if not n:
             return []
-        if n <= self.driver_links:
+        if n <= BROADCAST_ROWS:
             dirty = F.broadcast(dirty)
-        fresh_only = dirty.where(F.col("id") < f"{self.epoch:08x}").isEmpty()
+        fresh_only = least >= f"{self.epoch:08x}"
         affected = [t for _, t in sorted(self.tables.items()) if sort in t.kinds and t.parts]
-        moved = self._in_parallel([lambda t=t: (t.f.name, t.rename(dirty, sort, self.epoch, fresh_only)) for t in affected])
+        moved = self._in_parallel([lambda t=t: (t.f.name, t.rename(dirty, sort, self.epoch, fresh_only, few)) for t in affected])
         return [(name, df if not self.tables[name].merge.ordered else df.withColumn("ord", F.lit(""))) for name, df in moved if df is not None]
 
     # running
@@ -270,12 +272,13 @@ class Program:
         self.epoch += 1
         effects = Effects()
         head = Head(self.catalog, self.tables, self.epoch)
+        few = sum(t.count(self.lo if all(r.seen for r in self.rules) else 0, self.hi) for t in self.tables.values()) <= LOCAL_ROWS
         try:
-            ready = self._in_parallel([lambda r=r: (r, self._bindings(r)) for r in self.rules])
+            ready = self._in_parallel([lambda r=r: (r, self._bindings(r, few)) for r in self.rules])
             for r, bindings in ready:
                 if bindings is not None:
                     head.run(r.rule.head, bindings, r.variables, r.number, effects)
-            self._atomically(lambda: self._apply(effects))
+            self._atomically(lambda: self._apply(effects, few))
         except BaseException as e:
             self.lo, self.hi, self.epoch = kept
             raise (_told(e) if isinstance(e, PySparkException | Py4JJavaError) else e) from e
@@ -286,7 +289,7 @@ class Program:
             raise ProgramError(f"tables have {total} rows; {self.max_rows} are allowed")
         return written
 
-    def _bindings(self, r: CompiledRule) -> DataFrame | None:
+    def _bindings(self, r: CompiledRule, few: bool) -> DataFrame | None:
         """The new bindings of a rule: those with a row of the last range of epochs, each once; all, if the rule is new."""
         tables = [self.tables[a.name] for a in r.query.atoms]
         if not tables:
@@ -312,9 +315,10 @@ class Program:
         # a head that uses the bindings more than once, or a join on their way, would work them out again
         uses = sum(1 + sum(map(_calls, _parts(a))) for a in r.rule.head)
         if uses > 1:
-            df = self.space.save(df, "bindings") if df.columns else df
-            if df.columns and df.isEmpty():
-                return None
+            if df.columns:
+                df, facts = self.space.measured(df, "bindings", few)
+                if not facts["n"]:
+                    return None
         return df
 
     # questions
@@ -325,7 +329,7 @@ class Program:
 
     def _answer(self, query: Query) -> DataFrame:
         tables = [self.tables[a.name] for a in query.atoms]
-        if not all(t.parts for t in tables):
+        if not all(t.live for t in tables):
             return empty(query, self.spark)
         return build(query, [(lambda t=t: t.rows(), t.count()) for t in tables], self.spark)
 
@@ -381,8 +385,7 @@ class Program:
 
     def close(self) -> None:
         """Delete what the program has written. DataFrames from it can't be read any more."""
-        with suppress(Exception):
-            self.space.clear()
+        self.space.clear()
 
 
 def _parts(a: S.Action) -> list[S.Expr]:
