@@ -1,37 +1,24 @@
-"""Helpers that several operators use: shared storage, size-checked broadcasts, batches."""
+"""Helpers that several operators use: stored tables, row keys, size-checked broadcasts, batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to this many rows of a few numbers each; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from quern.storage import BROADCAST_ROWS, delete, shared_dir
 
 #: Text is taken in pieces of about this many bytes and at most so many rows, so that a worker's arrays stay small.
 PIECE_BYTES, PIECE_ROWS = 512 << 10, 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = kept.get() if kept.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,16 +29,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete what materialize has written, once nothing will read it any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quern/" in folder:
+                delete(df.sparkSession, folder)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """Mark df, a stored table, for broadcasting if it has no more than that many rows, each counting for its weight if that is given; else leave the join to shuffle."""
     total = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
     return F.broadcast(df) if total <= rows else df
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; rows with a null doc_id stay."""
-    gone = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), name)
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or what makes it one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a binary column that tells every row from every other, and that column's name.
+
+    A row read from a file is known by the digest of the file's path and its place there,
+    which any later scan gives again. Rows of any other origin are stored once, with
+    numbers. So rows without an id, with equal ids, or equal throughout stay apart.
+    """
+    name = free_name("_row", docs)
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            place = F.lpad(F.hex(F.col("_metadata.row_index")), 16, "0")
+            return docs.select("*", F.unhex(F.concat(F.md5("_metadata.file_path"), place)).alias(name)), name
+        except AnalysisException:  # a source without these columns
+            pass
+    numbered = docs.withColumn(name, F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
+    return materialize(numbered, "numbered"), name
+
+
+def take_rows(docs: DataFrame, key: str, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of keyed docs whose key is among rows (key), or with left_anti not among them; the key column goes."""
+    rows = materialize(rows.select(key).distinct(), "rows")
+    return docs.join(small(rows, BROADCAST_ROWS // 4), key, how).drop(key)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

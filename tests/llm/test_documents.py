@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, langid, minhash, mixing, pii, sharding
-from quern.llm.components import connected_components
+from quern.llm.minhash import connected_components
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, size string, component string"
@@ -76,7 +76,10 @@ def test_near_duplicates_odd_ids_and_no_rows(spark):
     rows = [(None, text), (3, text), (3, text), (5, text), (2, words(9)), (2, text)]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id) == [(2, 2, True), (2, 2, True), (3, 2, False), (3, 2, False), (5, 2, False)]
-    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(2, False)]
+    assert sorted((r.doc_id, r.n_shingles) for r in found if r.chosen) == [(2, 5), (2, 16)]
+    found = minhash.near_duplicates(spark.createDataFrame([(None, text), (None, text), (None, words(9)), (None, None), (None, "")], "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles, r.chosen) for r in found) == [(0, True), (0, True), (5, True), (16, False), (16, True)] and {r.component_id for r in found} == {None}
     assert minhash.near_duplicates(docs(spark)).count() == 0
 
 
@@ -88,6 +91,31 @@ def test_near_duplicates_of_one_id_with_different_texts(spark):
         assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
+def test_words_that_a_power_of_two_can_not_tell_apart(spark):
+    """Polynomials modulo 2^64 give this word and its complement one hash, whatever the base."""
+    odd = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd), words(4), "aaaaaaab", "aaaaaaba", "a" * 64, "a" * 65, "a" * 63 + "b"]
+    found = minhash.near_duplicates(docs(spark, *texts)).collect()
+    assert {r.component_id for r in found} == set(range(len(texts)))
+
+
+def test_shingles_tell_what_words_tell():
+    import numpy as np
+
+    from quern.llm.shingles import shingle_sets
+
+    rng = np.random.default_rng(5)
+    some = ["".join(rng.choice(list("abcé"), rng.integers(1, 90))) for _ in range(60)] + ["x", "x\0", "\0"]
+    texts = [" ".join(rng.choice(some, rng.integers(0, 40))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    seen = {}
+    for t, s in zip(texts, sets, strict=True):
+        assert len(s[0]) == len(shingles(t))
+        seen.setdefault((s[0].tobytes(), s[1].tobytes()), set()).add(frozenset(shingles(t)))
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) == len({frozenset(shingles(t)) for t in texts})
+
+
 def test_pieces():
     import pyarrow as pa
 
@@ -125,6 +153,9 @@ def test_decontamination(spark):
         "it is to be decided",
     ]
     items = spark.createDataFrame([(1, ITEM, 0), (2, words(25, 900_000), 0), (3, None, 0), (4, "", 0), (5, "To be", 0), (None, words(60), 0)], "item_id long, text string, n int")
+    blank = [r.doc_id for r in decontaminate.find(docs(spark, *texts), items).where("item_id is null").collect()]
+    assert sorted(blank) == [3, 6]  # an item without an id is one too
+    items = items.where("item_id is not null")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs(spark, *texts), items).collect()}
     assert set(got) == {(0, 1), (1, 1), (6, 1), (7, 1), (9, 1), (10, 5), (11, 5)}
     assert all(r.similarity == 1.0 and r.distance == 0 for r in got.values())
@@ -186,22 +217,122 @@ def test_decontamination_of_reordered_passages(spark):
     assert {d for d, _ in want} == {0, 1, 2, 3, 5, 6}
 
 
-def test_source_targets():
-    even = mixing.source_targets({"c": 100, "a": 100, None: 100, "b": 100})
+def grams(w):
+    from collections import Counter
+
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def test_decontamination_of_edited_passages_misses_nothing(spark):
+    """Items of 20 to 200 words with words changed, put in, left out and moved, in filler, against every window by plain counting; and how far apart the fingerprints are."""
+    import random
+
+    rng = random.Random(8)
+    items, texts = [], []
+    for i, n in enumerate([20, 33, 48, 84, 84, 84, 120, 200] * 4):
+        item = [f"i{i}x{rng.randrange(n)}" for _ in range(n)]  # some words repeat
+        w = list(item)
+        for _ in range(rng.randrange(0, 1 + n // 25)):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            if kind == 0:
+                w[at] = "other"
+            elif kind == 1:
+                w[at:at] = [f"new{j}" for j in range(rng.randrange(1, 5))]
+            elif kind == 2:
+                del w[at : at + 2]
+            else:
+                w = w[at:] + w[:at]
+        if n == 84:  # the second and second-last words changed and four put in between
+            w = [*item[:1], "other", *item[2:42], "a1", "a2", "a3", "a4", *item[42:-2], "other", item[-1]]
+        items.append(item)
+        texts.append([f"p{i}y{j}" for j in range(rng.randrange(40))] + w + [f"q{i}y{j}" for j in range(rng.randrange(40))])
+    want = {}
+    for d, w in enumerate(texts):
+        n, b = len(items[d]), grams(items[d])
+        sims = [(sum((a & b).values()) / sum((a | b).values()), -s) for s in range(max(1, len(w) - n + 1)) if (a := grams(w[s : s + n]))]
+        if max(sims)[0] >= 0.8:
+            want[d, d] = max(sims)
+    got = decontaminate.find(docs(spark, *map(" ".join, texts)), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in got} == {k: (pytest.approx(a), b) for k, (a, b) in want.items()}
+    assert len(want) >= 20 and {d for d, _ in want} >= {i for i in range(len(items)) if len(items[i]) == 84}
+    assert max(r.distance for r in got) <= decontaminate.RADIUS - 8
+
+
+def test_fingerprint_blocks_find_all_pairs_within_the_radius(spark):
+    """The inverted blocks against comparing all pairs, on fingerprints that differ by chosen numbers of bits spread in the worst way."""
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.randrange(1 << 16) for _ in range(16)] for _ in range(3)]
+    rows = []
+    for f in base:
+        for bits in (0, 15, 16, 47, 48, 62, 63, 64, 90):
+            x = list(f)
+            for j in range(bits):  # as evenly over the blocks as can be
+                x[j % 16] ^= 1 << (j // 16 if j < 240 else 15)
+            rows.append((20, x))
+    windows = spark.createDataFrame(rows, "n int, f array<int>")
+    items = spark.createDataFrame([(i, 20, f) for i, f in enumerate(base)] + [(9, 21, base[0])], "item long, n int, f array<int>")
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    want = {(tuple(x), i, far(x, f)) for _, x in rows for i, f in enumerate(base) if far(x, f) <= 63}
+    assert {(tuple(r.f), r.item, r.distance) for r in decontaminate.candidates(windows, items).collect()} == want and len(want) == 21
+
+
+def plain_targets(sizes, share=1.5, weights=(5, 2, 1), cap=2):
+    """Share by weight, stop who is above the cap, and share anew, until none is."""
+    order = [*sorted(s for s in sizes if s is not None), *[None] * (None in sizes)]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, free = {}, share * sum(sizes.values()), list(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+        left, free = left - sum(cap * sizes[s] for s in over), [s for s in free if s not in over]
+    return out
+
+
+def targets_of(spark, sizes, **options):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    return {r.source: r.target for r in mixing.source_targets(table, **options).collect()}
+
+
+def test_source_targets(spark):
+    import random
+
+    even = targets_of(spark, {"c": 100, "a": 100, None: 100, "b": 100})
     assert even == {"a": 200.0, None: 200.0, "b": pytest.approx(200 * 2 / 3), "c": pytest.approx(200 / 3)}
-    sizes = {"a": 10, "b": 1000, "c": 1000, "d": 0, None: 50}
-    got = mixing.source_targets(sizes)
-    assert sum(got.values()) == pytest.approx(1.5 * 2060)
-    assert all(got[s] <= 2 * sizes[s] + 1e-9 for s in sizes) and got["a"] == 20 and got["d"] == 0
-    free = [s for s in sizes if got[s] < 2 * sizes[s]]
-    weight = {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
-    assert len({round(got[s] / weight[s], 6) for s in free}) == 1
-    assert mixing.source_targets({}) == {}
+    rng = random.Random(1)
+    for n in (1, 2, 5, 40):
+        sizes = {rng.choice("abZé") + str(i): rng.choice([0, 1, 10, 10**rng.randrange(9)]) for i in range(n)} | ({None: 50} if n > 2 else {})
+        got, want = targets_of(spark, sizes), plain_targets(sizes)
+        assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values())) and all(got[s] <= 2 * sizes[s] for s in sizes)
+    assert targets_of(spark, {"a": 0, None: 0}) == {"a": 0.0, None: 0.0} and targets_of(spark, {}) == {}
+
+
+def plain_rates(sizes, target, cap=2.0):
+    """The rates of one source's documents, by halving the interval that the multiplier lies in."""
+    import math
+
+    live = [x for x in sizes if x]
+    mean = sum(live) / len(live)
+    if target >= cap * sum(live):
+        return [cap if x else 0.0 for x in sizes]
+    lo, hi = -1e4, 1e4
+    rate = lambda x, t: 0.0 if not x else cap if t * x / mean > math.log(cap) else math.exp(t * x / mean)
+    for _ in range(200):
+        t = (lo + hi) / 2
+        lo, hi = (t, hi) if sum(x * rate(x, t) for x in live) < target else (lo, t)
+    return [rate(x, lo) for x in sizes]
 
 
 def test_mix(spark):
     texts = [None, "", *(words(1 + i * 7 % 50, i) for i in range(300)), words(25_000)]
-    sources = [["s1", "s2", "s3", None][i % 4] for i in range(len(texts))]
+    sources = [["s1", "s2", "s3", None, "s5"][i % 5] for i in range(len(texts))]
     table = docs(spark, *texts, source=sources)
     first = mixing.mix(table).collect()
     again = mixing.mix(table.repartition(7), cell_rows=2).collect()
@@ -210,14 +341,18 @@ def test_mix(spark):
     size = {}
     for s, t in zip(sources, texts, strict=True):
         size[s] = size.get(s, 0) + len((t or "").split())
-    want = mixing.source_targets(size)
+    want = plain_targets(size)
+    tilts = set()
     for rows in (first, again):
         assert all(0 <= r.copies <= 2 and r.taken == r.copies * r["size"] for r in rows)
         for s in size:
-            own = [r for r in rows if r.source == s]
-            assert {(r.source_size, r.target) for r in own} == {(size[s], want[s])}
-            big = max(r["size"] for r in own) if s == sources[-1] else 0
-            assert abs(sum(r.taken for r in own) - want[s]) <= max(3, big / 2)
+            own = sorted((r for r in rows if r.source == s), key=lambda r: r.doc_id)
+            assert {r.source_size for r in own} == {size[s]} and [r.target for r in own] == pytest.approx([want[s]] * len(own))
+            rates = plain_rates([r["size"] for r in own], want[s])
+            assert [r.rate for r in own] == pytest.approx(rates, rel=1e-6, abs=1e-9)
+            tilts.add(len({round(x, 6) for x in rates if x}) > 1)
+            assert abs(sum(r.taken for r in own) - want[s]) <= max(3, max(r["size"] for r in own) / 2 if s == sources[-1] else 0)
+    assert tilts == {True} or tilts == {True, False}
     taken = {r.doc_id: r.copies for r in first}
     back = mixing.mix_documents(table).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in back} == {i: n for i, n in taken.items() if n}
@@ -225,43 +360,79 @@ def test_mix(spark):
     assert [(r["size"], r.taken) for r in mixing.mix(docs(spark, None, "")).collect()] == [(0, 0)] * 2
 
 
-def test_newton_meets_targets_of_two_columns(spark):
-    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "s string, l string, tokens long")
-    goal = {"s": {"a": 500.0, "b": 200.0}, "l": {"x": 350.0, "y": 350.0}}
-    found = mixing.newton(cells, ["s", "l"], goal)
-    got = {k: 0.0 for k in found}
-    for s, l, n in cells.collect():
-        rate = min(2.0, pow(2.718281828459045, found["s", s] + found["l", l]))
-        got["s", s] += rate * n
-        got["l", l] += rate * n
-    assert got == pytest.approx({(c, v): t for c in goal for v, t in goal[c].items()}, rel=1e-6)
+def test_mix_of_rows_without_ids_or_with_equal_ones(spark):
+    texts = [*(words(1 + i % 9, i) for i in range(60)), "", None, *["same text here"] * 30]
+    rows = [(None if i % 3 == 0 else 7, t, "s", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int")
+    mixed = mixing.mix(table, share=0.5).collect()
+    assert sum(r.taken for r in mixed) == pytest.approx(sum(len((t or "").split()) for t in texts) / 2, abs=3) and {r.copies for r in mixed} == {0, 1}
+    out = mixing.mix_documents(table, share=0.5)
+    assert out.columns == table.columns
+    assert sorted(len(r.text.split()) for r in out.collect()) == sorted(r["size"] for r in mixed if r.copies)
+
+
+def test_many_sources(spark):
+    rows = [(i, words(1 + i % 5), f"s{i % 2000}") for i in range(4000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(mixed) == 4000 and all(abs(t - w) <= 5 for t, w in [(sum(r.taken for r in own), own[0].target) for own in [[r for r in mixed if r.source == f"s{i}"] for i in range(0, 2000, 97)]])
+
+
+def plain_shards(rows, shards, seed=7):
+    """{place: (shard, slot)} of rows (doc_id, source), by sorting them."""
+    import hashlib
+
+    by = {}
+    for i, (doc, source) in enumerate(rows):
+        by.setdefault("n" if source is None else "s" + source, []).append((hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest(), i))
+    order = sorted(((2 * k + 1) / (2 * len(own)), name, h, i) for name, own in by.items() for k, (h, i) in enumerate(sorted(own)))
+    out, slots = {}, [0] * shards
+    for at, (*_, i) in enumerate(order):
+        shard = at * shards // len(rows)
+        out[i] = shard, slots[shard]
+        slots[shard] += 1
+    return out
 
 
 def test_sharding(spark):
     texts = [None, "", "x", "x", *(f"text {i} é" for i in range(200)), words(20_000)]
     sources = [["hot", "hot", "b", None, "c"][i % 5] for i in range(len(texts))]
     table = docs(spark, *texts, source=sources)
+    want = plain_shards(list(enumerate(sources)), 8)
+    facts = table.selectExpr("doc_id as row", "doc_id", "source", "struct(0) as own")
     for ranges in (10_000, 7):
-        rows = sharding.interleave(table.select("doc_id", "source"), 8, range_rows=ranges).collect()
-        by = {k: sorted(r.slot for r in rows if r.shard == k) for k in range(8)}
-        assert sum(map(len, by.values())) == len(texts) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
-        assert all(v == list(range(len(v))) for v in by.values())
+        rows = sharding.interleave(facts, 8, range_rows=ranges).collect()
+        assert {r.doc_id: (r.shard, r.slot) for r in rows} == want
         for s in set(sources):
             share = sources.count(s) / 8
-            assert all(abs(sum(r.source == s for r in rows if r.shard == k) - share) <= 2 for k in by)
-    place = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(table.select("doc_id", "source"), 8, range_rows=50).collect()}
-    assert place == {r.doc_id: (r.shard, r.slot) for r in rows}
+            assert all(abs(sum(r.source == s for r in rows if r.shard == k) - share) <= 2 for k in range(8))
+    want = plain_shards(list(enumerate(sources)), 24)
     for r in sharding.shard_digest(table).collect():
         data = (texts[r.doc_id] or "").encode()
         assert r["size"] == len(data) + 8 and r.text_crc32 == (None if texts[r.doc_id] is None else zlib.crc32(data)) and r.law == "rows" and r.grown_shard is None
+        assert (r.shard, r.slot) == want[r.doc_id]
     assert sharding.shard_digest(docs(spark)).count() == 0
     twice = table.unionByName(table)
     full = sharding.shard_documents(twice, 6).collect()
     assert len(full) == 2 * len(texts) and len({(r.shard, r.slot) for r in full}) == len(full)
-    few = sharding.interleave(docs(spark, "a", "b", "c").select("doc_id", "source"), 24).collect()
+    few = sharding.shard_digest(docs(spark, "a", "b", "c")).collect()
     assert len(few) == 3 and {r.slot for r in few} == {0}
 
 
+def test_sharding_of_odd_rows(spark):
+    """Rows without an id, or all with one, are spread; columns of the input with the names of the output or of helpers don't matter."""
+    rows = [(None if i % 3 else 5, f"t {i % 40}", ["a", None][i % 2], "x", "y", "z", "r") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, size string, text_crc32 string, _row string")
+    out = sharding.shard_documents(table, 7)
+    assert out.columns == ["doc_id", "text", "source", "size", "text_crc32", "_row", "shard", "slot"]
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r.text, r.source or "", r["size"], r._row) for r in got) == sorted((r[0] or 0, r[1], r[2] or "", "y", "r") for r in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sorted(by) == list(range(7)) and all(sorted(v) == list(range(len(v))) and len(v) in (128, 129) for v in by.values())
+    assert all(abs(sum(r.source == "a" for r in got if r.shard == k) - 450 / 7) <= 2 for k in range(7))
+
+
 def test_languages(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -351,6 +522,35 @@ def test_pseudonyms_are_a_permutation(spark):
     assert len(set(made)) == len(days) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in made)
 
 
+def test_pipeline_of_rows_without_ids_or_with_equal_ones(spark):
+    """Rows are told apart where ids don't: no text is lost, no copy or contaminated row stays, no clean one goes."""
+    import corpus_pipeline as p
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) between 300 and 600").orderBy("doc_id").limit(6).collect()]
+    a, b, c, d, e, f = texts
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    bad = f"{e} {item}"
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, bad), (7, f), (7, bad + " end"), (None, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], columns)
+    out = p.near_duplicates(spark, table, SF)
+    kept = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert [t for _, t in kept if t not in (bad, bad + " end")] == [t for _, t in sorted([(0, ""), (0, d), (1, a), (2, b), (3, c), (7, f)])]
+    assert sum(t in (bad, bad + " end") for _, t in kept) == 1 and out.columns == table.columns
+    clean = sorted((r.doc_id or 0, r.text) for r in p.decontamination(spark, table, SF).collect())
+    assert clean == sorted((i or 0, t) for i, t in rows if item not in t)
+    spoken = sorted((r.doc_id or 0, r.text) for r in p.language(spark, table.withColumn("rejected", F.lit(1)), SF).collect())
+    assert spoken == sorted((i or 0, t) for i, t in rows if t)
+    mixed = p.mixture(spark, table, SF).collect()
+    sizes = sum(len(t.split()) for _, t in rows)
+    assert sum(len(r.text.split()) for r in mixed) == pytest.approx(1.5 * sizes, abs=100) and {r.text for r in mixed} <= {t for _, t in rows}
+    placed = p.shards(spark, table, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in placed) == sorted((i or 0, t) for i, t in rows) and len({(r.shard, r.slot) for r in placed}) == len(rows)
+    empty = table.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
