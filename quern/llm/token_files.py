@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import materialize, pieces, text_buffer
-from quern.llm.shingles import _LOWER, hashed_words
+from quern.llm.shingles import _LOWER, hash_words, word_spans
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -29,6 +29,9 @@ KNOWN, HASH_BYTES = 800_000, 128 << 10
 #: Text whose stretches are looked up together: bytes and rows.
 PIECE, PIECE_ROWS = 4 << 20, 16_384
 
+#: The hash by which stretches are looked up.
+SEED = (0x452821E638D01377,)
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
@@ -39,13 +42,14 @@ _SAME = np.arange(256, dtype=np.uint8)
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space and never joins what it parts, each distinct stretch once.
+    """Encodes texts, each distinct stretch once if the tokenizer drops white space and never joins what it parts.
 
     Texts are cut at ASCII white space and, if the tokenizer parts there and lower-cases, between
     ASCII letters or digits and other ASCII marks. Equal stretches have equal ids, so only
-    those that the worker doesn't remember, by a 64-bit hash, are encoded. Runs of letters are encoded many in one text, where a
+    those that the worker doesn't remember are encoded. A stretch is looked up by a 64-bit hash, and its bytes are
+    compared with those remembered; should they differ, the texts at hand are encoded whole. Runs of letters are encoded many in one text, where a
     token with the end-of-word suffix closes each. A text that holds a special token's
-    string is encoded as it is.
+    string is encoded as it is, and so is every text if probes show that the tokenizer keeps white space.
     """
 
     def __init__(self, path: str):
@@ -61,11 +65,16 @@ class WordEncoder:
         probe = ["ABC Abcdef, x2%(y)", "abc abcdef , x2 % ( y )", "abc abcdef , x2 %( y )"]
         plain = [tuple(e.ids) for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
         self.parts = bool(suffix) and plain[0] == plain[2]
+        spaced = ["two  words and   spaces", " lead", "trail \n", "tab\tnew\nline\r\n x\x0by\x0cz"]
+        apart = self.tokenizer.encode_batch([" ".join(t.split()) for t in spaced] + [w for t in spaced for w in t.split()], add_special_tokens=False)
+        whole = [e.ids for e in self.tokenizer.encode_batch(spaced, add_special_tokens=False)]
+        self.drops = whole == [e.ids for e in apart[: len(spaced)]] and sum(whole, []) == sum((e.ids for e in apart[len(spaced) :]), [])
         self._forget()
 
     def _forget(self) -> None:
         self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.from_, self.bytes, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _plain(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -80,8 +89,24 @@ class WordEncoder:
             out += np.split(ids, ends[:-1]) if len(ends) == len(some) else self._plain(some)
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str], shrink: bool) -> None:
-        """Enter new stretches, which come in order of their hashes."""
+    def _same(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> bool:
+        """Whether all stretches of low have the bytes of their entries."""
+        size = end - start
+        if (self.bytes[entry] != size).any():
+            return False
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + HASH_BYTES, side="right")))
+            n = size[at:to]
+            along = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            if (low[np.repeat(start[at:to], n) + along] != self.known[np.repeat(self.from_[entry[at:to]], n) + along]).any():
+                return False
+            at = to
+        return True
+
+    def _learn(self, hashes: np.ndarray, words: list[str], raw: list[bytes], shrink: bool) -> None:
+        """Enter new stretches, which come in order of their hashes; raw are their bytes as compared."""
         letters = np.array([self.parts and w.isalpha() and (w.isascii() or is_normalized("NFC", w)) for w in words], bool)
         found = np.empty(len(words), object)
         for pick, encode in ((letters, self._letters), (~letters, self._plain)):
@@ -93,14 +118,20 @@ class WordEncoder:
             keep = self.at < len(self.ids) // 2
             self.hashes, self.at, self.size = self.hashes[keep], self.at[keep], self.size[keep]
             self.ids = self.ids[: int((self.at + self.size).max(initial=0))].copy()
+            self.from_, self.bytes = self.from_[keep], self.bytes[keep]
+            self.known = self.known[: int((self.from_ + self.bytes).max(initial=0))].copy()
         to = np.searchsorted(self.hashes, hashes)
         self.at = np.insert(self.at, to, len(self.ids) + np.cumsum(size) - size)
         self.size = np.insert(self.size, to, size)
         self.hashes = np.insert(self.hashes, to, hashes)
+        count = np.array([len(x) for x in raw], np.int64)
+        self.from_ = np.insert(self.from_, to, len(self.known) + np.cumsum(count) - count)
+        self.bytes = np.insert(self.bytes, to, count)
+        self.known = np.concatenate([self.known, np.frombuffer(b"".join(raw), np.uint8)])
         self.ids = np.concatenate([self.ids, *found])
 
-    def _ids(self, data: np.ndarray, offs: np.ndarray, shrink: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has."""
+    def _ids(self, data: np.ndarray, offs: np.ndarray, shrink: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all texts, and how many each has; nothing if two stretches share a hash."""
         parts, base = [], 0
         at = 0
         while at < len(offs) - 1:
@@ -111,11 +142,12 @@ class WordEncoder:
                 letter, mark = _LETTER[some], _MARK[some]
                 cut = np.zeros(len(some), bool)
                 cut[1:] = letter[1:] & mark[:-1] | mark[1:] & letter[:-1]
-            h, start, end, first = hashed_words(some, own, cut, _LOWER if self.parts else _SAME)
-            parts.append((h, start + offs[at], end + offs[at], first[:-1] + base))
+            low, start, end, first = word_spans(some, own, cut, _LOWER if self.parts else _SAME)
+            h = hash_words(low, start, end, SEED)[0]
+            parts.append((h, start + offs[at], end + offs[at], first[:-1] + base, low))
             base += len(h)
             at = to
-        hashes, start, end, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes, start, end, first, low = (np.concatenate(x) for x in zip(*parts, strict=True))
         unique, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         to = np.searchsorted(self.hashes, unique)
         new = np.ones(len(unique), bool)
@@ -126,10 +158,14 @@ class WordEncoder:
             missing = where[new]
             before = len(self.hashes)
             words = [text[a:b].decode() for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
-            self._learn(unique[new], words, shrink)
+            folded = low.tobytes()
+            raw = [folded[a:b] for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            self._learn(unique[new], words, raw, shrink)
             if len(self.hashes) != before + len(words):  # stretches of this text may have been forgotten
                 return self._ids(data, offs, shrink=False)
             to = np.searchsorted(self.hashes, unique)
+        if not self._same(low, start, end, to[which]):
+            return None
         size = self.size[to][which]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[to][which] - ends[:-1], size) + np.arange(ends[-1])]
@@ -138,10 +174,11 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts that lie at offs in data, end behind each, and how many each has."""
         text = data.tobytes()
-        if any(s in text for s in self.special):
+        known = None if not self.drops or any(s in text for s in self.special) else self._ids(data, offs)
+        if known is None:
             whole = [np.append(self._plain([text[a:b].decode()])[0], [] if end is None else end).astype(np.uint32) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
-        ids, n = self._ids(data, offs)
+        ids, n = known
         if end is None:
             return ids, n
         n = n + 1
@@ -169,7 +206,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Write (doc_id, n_tokens, tokens) for each row of docs (doc_id, text) to new files under path.
 
     A null or empty text has the end id alone, or nothing. A null doc_id comes first;
-    rows with the same doc_id stand by text. Long texts are encoded whole. No rows, no rows.
+    rows with the same doc_id stand by a digest of their text. Long texts are encoded whole. No rows, no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +216,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's digest parts rows of one doc_id, or of none, between files
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("digest", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").drop("digest")
     options = {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",
