@@ -47,6 +47,41 @@ def test_token_files(spark):
     assert all(c.has_offset_index for c in names.values())
 
 
+def encoded(encoder, texts):
+    raw = [t.encode() for t in texts]
+    ids, n = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), None)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_encoder_compares_bytes(monkeypatch):
+    """Two words that a polynomial modulo 2^64 can't tell apart, and a hash that tells only a few words apart."""
+    from tokenizers import Tokenizer
+
+    odd = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd), *ODD[1:], "some more words", "more Some word", "thing, (that) is: A"]
+    want = [Tokenizer.from_file(BPE).encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(token_files.WordEncoder(BPE), texts) == want
+    monkeypatch.setattr(token_files, "hash_words", lambda low, a, b, seed: ((b - a).astype(np.uint64) % np.uint64(5),))
+    weak = token_files.WordEncoder(BPE)
+    for t, w in zip(texts, want, strict=True):
+        assert encoded(weak, [t]) == [w]
+    assert encoded(weak, texts) == want
+
+
+def test_encoder_of_a_tokenizer_that_keeps_white_space():
+    import glob
+
+    from tokenizers import Tokenizer
+
+    for path in glob.glob(f"{queries.TOKENIZERS}/*.json"):
+        try:
+            plain = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001 - a file of another kind
+            continue
+        texts = ["two  words and   spaces", " a", "b ", "x\ty\n\nz", "plain words"]
+        assert encoded(token_files.WordEncoder(path), texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts], path
+
+
 def test_token_files_without_rows_or_ids(spark):
     path = new_path(spark, "test")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, BPE)
@@ -54,7 +89,8 @@ def test_token_files_without_rows_or_ids(spark):
     path = new_path(spark, "test")
     token_files.write_tokens(spark.createDataFrame([(None, "a b"), (3, "c"), (3, "c"), (3, None)], "doc_id long, text string"), path, BPE)
     got = sorted((r.doc_id or -1, r.start, r.n_tokens) for r in token_files.token_index(spark, path).collect())
-    assert got == [(-1, 0, 2), (3, 2, 0), (3, 2, 1), (3, 3, 1)]
+    assert got[0] == (-1, 0, 2) and sorted(n for *_, n in got[1:]) == [0, 1, 1] and {i for i, *_ in got[1:]} == {3}
+    assert all(b[1] == a[1] + a[2] for a, b in itertools.pairwise(sorted(got, key=lambda r: (r[1], r[1] + r[2]))))
 
 
 def test_token_files_of_many_partitions(spark):
@@ -79,13 +115,14 @@ def test_token_files_of_many_partitions(spark):
         start += r.n_tokens
 
 
-COUNT = token_counts.counter(RANKS, queries.PRETOKENS)
+COUNTER = token_counts.Counter(RANKS, queries.PRETOKENS)
+COUNT = COUNTER.whole
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab cd  e.\n1é'日s", max_size=200), st.lists(st.tuples(st.integers(-3, 220), st.integers(-3, 220), st.text("ab c.\n's", max_size=30)), max_size=6))
 def test_count_tree_equals_counting_anew(text, edits):
-    tree = token_counts.CountTree(text, COUNT, leaf=8)
+    tree = token_counts.CountTree(text, COUNTER, leaf=8)
     for a, b, new in edits:
         tree.edit(a, b, new)
         a = min(max(a, 0), len(text))
@@ -94,6 +131,50 @@ def test_count_tree_equals_counting_anew(text, edits):
         assert str(tree) == text and tree.n_tokens == COUNT(text)
 
 
+def height_is_logarithmic(tree):
+    return tree.root is None or tree.root.height <= 1.45 * np.log2(tree.n_leaves + 2) + 1
+
+
+def test_edits_touch_little_in_any_script():
+    """The characters counted for an edit, for texts in which letter, space, letter is rare or never occurs."""
+    texts = {
+        "prose": "The quick brown fox jumps over the lazy dog. ",
+        "japanese": "吾輩は猫である。名前はまだ無い、どこで生れたか頓と見当がつかぬ。",
+        "numbers": "12 345, 6789; 0.25 -17 88 ",
+        "code": "for(int i=0;i<n;++i){a[i]=b[i]*c[i]+0x1f;}\n\t",
+        "urls": "https://a.example.org/x/y?z=1&w=2#top\n",
+        "list": "Haus,Garten,Straße,Brücke,",
+        "blank": "   \n\n  \t x",
+    }
+    for name, unit in texts.items():
+        text = unit * (100_000 // len(unit))
+        tree = token_counts.CountTree(text, COUNTER)
+        for at, size, new in [(50_000, 3, "abc"), (10, 0, "x"), (99_000, 20, ""), (70_001, 5, " 'll be "), (30_000, 0, unit)]:
+            done = tree.counted
+            tree.edit(at, at + size, new)
+            text = text[:at] + new + text[at + size :]
+            assert tree.counted - done <= 4 * token_counts.LEAF_CHARS, name
+        assert tree.n_tokens == COUNT(text) and str(tree) == text and height_is_logarithmic(tree), name
+
+
+def test_large_inserts_and_deletions_keep_the_tree_balanced():
+    rng = np.random.default_rng(4)
+    text = "some words of a text, 12 of them. " * 3000
+    tree = token_counts.CountTree(text, COUNTER)
+    for _ in range(60):
+        at = int(rng.integers(0, len(text)))
+        size, new = (0, "neu 漢字 word. " * 800) if rng.random() < 0.5 else (10_000, "")
+        done = tree.counted
+        tree.edit(at, at + size, new)
+        text = text[:at] + new + text[at + size :]
+        assert tree.counted - done <= len(new) + 4 * token_counts.LEAF_CHARS and height_is_logarithmic(tree)
+    assert tree.n_tokens == COUNT(text) and str(tree) == text
+    long = "y" * 50_000  # one pre-token is counted whole
+    tree = token_counts.CountTree(f"a {long} b", COUNTER)
+    tree.edit(25_000, 25_001, "z")
+    assert tree.n_tokens == COUNT(str(tree))
+
+
 def test_edited_counts(spark):
     texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_before int")
