@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals and exact reranking.
 
 Vectors are normalised and go to the list of their nearest coarse centroid; what
-is left is coded in SUBSPACES bytes. Centroids and code books are fitted on at most
-SAMPLE vectors, those with the least seeded hash, and every vector is indexed. A
+is left is coded in SUBSPACES bytes. Lists are as many as a quarter of the root of the
+rows, up to MOST_LISTS, which are reached at 4 * 10^9 rows; from TWO_LEVELS on they are found by way of the
+nearest of as many coarser centroids as their root. Centroids and code books are fitted on a
+sample, the SAMPLE vectors with the least seeded hash, or 16 for each list if that is more, and every vector is indexed. A
 query visits its nearest lists, as many as found RECALL of the sample's own
 neighbours, and on until it has seen 16 * RERANK rows; in each it ranks all codes by its asymmetric distance table and takes the
 RERANK best to be held exactly, in double precision, against the original vectors.
@@ -33,11 +35,12 @@ BLOCK_ROWS = 8_192
 QUERY_ROWS = 200_000
 #: Tasks of the search, where there are so many blocks.
 MOST_TASKS = 10_000
-MOST_LISTS = 1_024
+MOST_LISTS = 16_384
+TWO_LEVELS = 256
 
 
 def _parse(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """(vec_id, x): the vectors that take part, as doubles."""
+    """(vec_id, x): the vectors that take part, as doubles, each scaled by a power of two so that squares neither overflow nor vanish; cosines stay what they are."""
     for batch in batches:
         ids, col = batch.column(0), batch.column(1)
         n = len(ids)
@@ -48,6 +51,7 @@ def _parse(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
         with np.errstate(over="ignore", invalid="ignore"):
             good = np.isfinite(flat).all(1) & (np.abs(flat).max(1, initial=0) > 0)
         rows, flat = rows[good], flat[good]
+        flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(1, initial=0))[1][:, None])
         if n and len(rows):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)).cast(pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["vec_id", "x"])
 
@@ -58,7 +62,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # keeps squares finite
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -80,12 +83,25 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
 
 @dataclass
 class Index:
+    tops: np.ndarray
+    first: np.ndarray  # of each of tops, where its part of coarse starts; one more entry at the end
     coarse: np.ndarray
     books: np.ndarray  # subspace, code, dimension
     probes: int
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row: the nearest centroid under the nearest of tops."""
+        if len(self.tops) == 1:
+            return _near(x, self.coarse)
+        top, own = _near(x, self.tops), np.zeros(len(x), np.int64)
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            a, b = self.first[t : t + 2]
+            own[rows] = a + _near(x[rows], self.coarse[a:b])
+        return own
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = _near(x, self.coarse)
+        own = self.place(x)
         rest = (x - self.coarse[own]).reshape(len(x), len(self.books), -1)
         return own, np.stack([_near(rest[:, j], b) for j, b in enumerate(self.books)], 1).astype(np.uint8)
 
@@ -97,12 +113,23 @@ class Index:
         return [row[ok] for row, ok in zip(order, wanted, strict=True)]
 
 
-def fit(x: np.ndarray, rows: int, subspaces: int = SUBSPACES, recall: float = RECALL, k: int = 5, seed: int = 3) -> Index:
+def list_count(rows: int) -> int:
+    return int(min(max(1, np.sqrt(rows) / 4), MOST_LISTS))
+
+
+def fit(x: np.ndarray, rows: int, subspaces: int = SUBSPACES, recall: float = RECALL, k: int = 5, seed: int = 3, two_levels: int = TWO_LEVELS) -> Index:
     """An index for `rows` vectors from a sample x of unit vectors."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    lists = int(min(max(1, np.sqrt(rows) / 4), MOST_LISTS, max(1, len(x) // 16)))
-    coarse = _kmeans(x, lists, rng)
-    own = _near(x, coarse)
+    lists = min(list_count(rows), max(1, len(x) // 16))
+    tops = _kmeans(x, int(np.ceil(np.sqrt(lists))) if lists >= two_levels else 1, rng)
+    if len(tops) == 1:
+        coarse, first = _kmeans(x, lists, rng), np.array([0, lists])
+    else:
+        top = _near(x, tops)
+        parts = [_kmeans(x[top == t], max(1, round(lists * (top == t).sum() / len(x))), rng) if (top == t).any() else tops[t : t + 1] for t in range(len(tops))]
+        coarse, first = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    index = Index(tops, first, coarse, np.zeros((0, 0, 0)), 0)
+    own = index.place(x)
     while x.shape[1] % subspaces:
         subspaces -= 1
     rest = (x - coarse[own]).reshape(len(x), subspaces, -1)
@@ -114,7 +141,7 @@ def fit(x: np.ndarray, rows: int, subspaces: int = SUBSPACES, recall: float = RE
     order = np.argsort((coarse**2).sum(1) - 2 * (x[asked] @ coarse.T), axis=1, kind="stable")
     place = np.argsort(order, axis=1)
     ranks = np.sort(np.take_along_axis(place, own[best], 1).ravel()) if best.size else np.zeros(1, int)
-    return Index(coarse, books, int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1)
+    return Index(tops, first, coarse, books, int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1)
 
 
 class _Block:
@@ -187,7 +214,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     A row of vectors with the query's own vec_id is no candidate of it. Ties go to the
     smaller vec_id; all candidates are returned if there are fewer. Vectors that are
     null, zero, or hold null or non-finite components, those without a vec_id and those of another length
-    than most take no part. Repeated rows are candidates each. No vectors or no queries, no rows. Other
+    than most take no part. Repeated rows are candidates each; of queries with one vec_id, that whose vector has the least bytes is asked. No vectors or no queries, no rows. Other
     columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -199,10 +226,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     parse = lambda df: df.select("vec_id", "embedding").mapInArrow(lambda b: _parse(b, dim), "vec_id long, x binary")
     clean = materialize(parse(vectors), "vectors")
     rows = clean.count()
-    some = clean.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample).collect()
-    if not some:
+    some = clean.select("x", "vec_id").orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id", "x").limit(max(sample, 16 * list_count(rows))).select("x").toArrow()
+    if not some.num_rows:
         return spark.createDataFrame([], schema)
-    index = fit(_unit(np.stack([np.frombuffer(r["x"], np.float64) for r in some])), rows, recall=recall, k=k, seed=seed)
+    index = fit(_unit(_matrix(some["x"])), rows, recall=recall, k=k, seed=seed)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +243,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     counts = np.array([sizes.get(a, 0) for a in range(len(index.coarse))])
     blocks = {a: -(-n // block_rows) for a, n in sizes.items()}
     count = F.create_map(*[F.lit(int(v)) for pair in sorted(blocks.items()) for v in pair])
-    queried = materialize(parse(queries).dropDuplicates(["vec_id"]), "queries")
+    queried = materialize(parse(queries).groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     parts = -(-queried.count() // query_rows)
     if not parts:
         return spark.createDataFrame([], schema)

@@ -323,3 +323,35 @@ def test_nearest_odd_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2)]
     assert ann.nearest(few.limit(0), few).count() == 0 and ann.nearest(few, few.limit(0)).count() == 0
     assert ann.nearest(table.where("vec_id = 1002"), few).count() == 0
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e300, 1e300]), (2, [3e-200, 4e-200]), (3, [-1e-300, 0.0]), (0, [1e200, 1e200])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(table, table).collect()}
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    for (a, b), score in got.items():
+        assert score == pytest.approx(unit[a] @ unit[b] / np.linalg.norm(unit[a]) / np.linalg.norm(unit[b]), abs=1e-15)
+    assert {a for a, _ in got} == {0, 1, 2, 3} and all((a, b) in got for a in range(4) for b in range(4) if a != b)
+
+
+def test_queries_that_share_an_id(spark):
+    table = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0])], table.schema)
+    first = [tuple(r) for r in ann.nearest(table, asked).orderBy("rank").collect()]
+    assert len(first) == 5 and first == [tuple(r) for r in ann.nearest(table, asked.orderBy("embedding").repartition(2)).orderBy("rank").collect()]
+
+
+def test_lists_in_two_levels():
+    """Clustered vectors: few of many lists hold nearly all neighbours; every row gets a list, and probing them all finds all."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(300, 32))
+    x = ann._unit(np.repeat(centres, 40, 0) + 0.25 * rng.normal(size=(12_000, 32)))
+    index = ann.fit(x, 4_000_000, two_levels=16)
+    assert 300 <= len(index.coarse) <= 600 and len(index.tops) > 16 and index.first[-1] == len(index.coarse)
+    own = index.place(x)
+    sizes = np.bincount(own, minlength=len(index.coarse))
+    visited = index.lists(x[::100], sizes, 1)
+    near = np.argsort(-(x[::100] @ x.T), axis=1)[:, 1:6]
+    found = np.mean([np.isin(own[n], v).mean() for n, v in zip(near, visited, strict=True)])
+    assert found >= 0.95 and np.mean([sizes[v].sum() for v in visited]) < len(x) / 4
