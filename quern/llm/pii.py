@@ -2,26 +2,35 @@
 
 Found in a text, in this order of preference at a place: e-mail addresses, IPv4
 addresses, dates, social security numbers, telephone numbers, account and card
-numbers. What its own rule validates is replaced by a keyed permutation of its
-format (an alternating Feistel network of ROUNDS rounds over SHA-256), so equal values get equal
-pseudonyms in every document, different values different ones, and the key's
-holder can invert them:
+numbers. What its own rule validates is replaced by a keyed permutation of what
+that rule admits (an alternating Feistel network of ROUNDS rounds over SHA-256), so equal values get equal
+pseudonyms in every document, different values different ones, pseudonyms are valid
+themselves, and the key's holder can invert them:
 
 * e-mail: each digit of the local part stays a digit, each letter a letter of its
   case, the domain stays. The local part is cut into runs of 15 places.
 * IPv4, octets 0 to 255: the 32 bits.
 * date, a day of 1900 to 2099 as Y-M-D or D.M.Y with "-", "/" or "." between: the day's number.
-* social security number: its nine digits, in their places.
-* telephone number of ten digits, with or without +1: the ten digits, in their places.
-* card or account number, 13 to 19 digits in groups or not: with a right check digit
-  all but the first and last are permuted and the last is worked out anew, so a valid
-  number stays valid; other numbers of 16 digits are permuted whole.
+* social security number, its area not 000, 666 or 900 on, its group not 00, its serial not 0000: its
+  number among these, in the same places.
+* telephone number of ten digits, with or without +1, area and exchange from 200 on: its
+  number among these, in the same places.
+* card or account number of 13 to 19 digits, in one run or in groups of four or of 4, 6 and 5, with a right check digit:
+  all but the first and last are permuted and the last is worked out anew. A wrong check digit: no such number.
+
+The key reaches the plan as the value of a scalar subquery over a relation of one row,
+whose rows plans don't print: it is in no explain output, user interface or event
+log. It is in the driver's memory, in the tasks sent to executors, and wherever the
+caller keeps it; who can read those can invert pseudonyms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.llm.shared import free_name
 
 ROUNDS = 10
 FIRST_DAY, DAYS = "1900-01-01", 73_049
@@ -34,7 +43,7 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-NUMBER = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+NUMBER = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, NUMBER))
 
 
@@ -43,9 +52,20 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _key_column(spark: SparkSession, key: str) -> Column:
+    """The key as a scalar subquery over a local relation, made without a job and without a literal."""
+    jvm = spark._jvm
+    values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 1)
+    values[0] = key
+    rows = jvm.java.util.ArrayList()
+    rows.add(jvm.org.apache.spark.sql.RowFactory.create(values))
+    schema = spark._jsparkSession.parseDataType(T.StructType([T.StructField("key", T.StringType(), False)]).json())
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, schema), spark).scalar()
+
+
 def _feistel(key: str, kind: str, left: str, right: str, m: str, n: str, invert: bool = False) -> str:
     """SQL for the struct (l, r) that keyed rounds make of left, below m, and right, below n."""
-    part = lambda x: f"cast(conv(substr(sha2(concat({_sql(key)}, ':{kind}:', cast({m} as string), ':', cast({n} as string), ':', cast(i as string), ':', cast({x} as string)), 256), 1, 15), 16, 10) as bigint)"
+    part = lambda x: f"cast(conv(substr(sha2(concat({key}, ':{kind}:', cast({m} as string), ':', cast({n} as string), ':', cast(i as string), ':', cast({x} as string)), 256), 1, 15), 16, 10) as bigint)"
     sign, order = ("-", f"sequence({ROUNDS}, 1, -1)") if invert else ("+", f"sequence(1, {ROUNDS})")
     odd = f"named_struct('l', pmod(s.l {sign} pmod({part('s.r')}, {m}), {m}), 'r', s.r)"
     even = f"named_struct('l', s.l, 'r', pmod(s.r {sign} pmod({part('s.l')}, {n}), {n}))"
@@ -95,7 +115,7 @@ def _letters(key: str, local: str, invert: bool) -> str:
 
 
 def pseudonym(match: str, key: str, invert: bool = False) -> str:
-    """SQL for the pseudonym of the SQL expression match, a string that ANY has found; itself, if its rule rejects it."""
+    """SQL for the pseudonym of the SQL expression match, a string that ANY has found, or null if its rule rejects it; key is SQL too."""
     at = "x"
     plain = f"regexp_replace({at}, '[^0-9]', '')"
     is_ = lambda pattern: f"{at} rlike {_sql('^(?:' + pattern + ')$')}"
@@ -103,7 +123,7 @@ def pseudonym(match: str, key: str, invert: bool = False) -> str:
     ip = _bind(
         octets,
         "o",
-        f"if(exists(o, y -> y > 255), {at}, "
+        f"if(exists(o, y -> y > 255), null, "
         + _bind(_feistel(key, "ipv4", "o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536", "65536", invert), "t", "concat_ws('.', cast(t.l div 256 as string), cast(t.l % 256 as string), cast(t.r div 256 as string), cast(t.r % 256 as string))")
         + ")",
     )
@@ -112,27 +132,40 @@ def pseudonym(match: str, key: str, invert: bool = False) -> str:
     day = f"datediff(try_to_timestamp({at}, if({iso}, concat('yyyy', {mark}, 'MM', {mark}, 'dd'), concat('dd', {mark}, 'MM', {mark}, 'yyyy'))), date'{FIRST_DAY}')"
     m, n = _DAY_SIDES
     back = f"date_format(date_add(date'{FIRST_DAY}', cast(t.l * {n} + t.r as int)), if({iso}, concat('yyyy', {mark}, 'MM', {mark}, 'dd'), concat('dd', {mark}, 'MM', {mark}, 'yyyy')))"
-    date = _bind(day, "y", f"if(y is null or y < 0 or y >= {DAYS}, {at}, " + _bind(_feistel(key, "date", f"y div {n}", f"y % {n}", str(m), str(n), invert), "t", back) + ")")
-    ten = f"right({plain}, 10)"
-    phone = f"if(length({plain}) = 11, concat(substr({at}, 1, 2), {_refill(f'substr({at}, 3)', _digits(key, 'phone', ten, invert))}), {_refill(at, _digits(key, 'phone', ten, invert))})"
+    date = _bind(day, "y", f"if(y is null or y < 0 or y >= {DAYS}, null, " + _bind(_feistel(key, "date", f"y div {n}", f"y % {n}", str(m), str(n), invert), "t", back) + ")")
+    # an area without 000, 666 and 9xx, and a group: one side; a serial: the other
+    area, group, serial = (f"cast(substr(e, {i}, {n}) as bigint)" for i, n in ((1, 3), (4, 2), (6, 4)))
+    left = f"(if({area} > 666, {area} - 2, {area} - 1) * 99 + {group} - 1)"
+    back = "concat(lpad(cast(if(t.l div 99 >= 665, t.l div 99 + 2, t.l div 99 + 1) as string), 3, '0'), lpad(cast(t.l % 99 + 1 as string), 2, '0'), lpad(cast(t.r + 1 as string), 4, '0'))"
+    made = _bind(_feistel(key, "ssn", left, f"{serial} - 1", str(898 * 99), "9999", invert), "t", back)
+    ssn = _bind(plain, "e", f"if({area} in (0, 666) or {area} >= 900 or {group} = 0 or {serial} = 0, null, {_refill(at, made)})")
+    # area and exchange: one side; the line: the other
+    area, exchange, line = (f"cast(substr(e, {i}, {n}) as bigint)" for i, n in ((1, 3), (4, 3), (7, 4)))
+    made = _bind(_feistel(key, "phone", f"(({area} - 200) * 800 + {exchange} - 200)", line, "640000", "10000", invert), "t", "concat(cast(t.l div 800 + 200 as string), cast(t.l % 800 + 200 as string), lpad(cast(t.r as string), 4, '0'))")
+    whole = f"if(length({plain}) = 11, concat(substr({at}, 1, 2), {_refill(f'substr({at}, 3)', made)}), {_refill(at, made)})"
+    phone = _bind(f"right({plain}, 10)", "e", f"if({area} < 200 or {exchange} < 200, null, {whole})")
     middle = _digits(key, "card", "substr(e, 2, length(e) - 2)", invert)
     body = _bind(f"concat(left(e, 1), {middle})", "g", f"concat(g, cast(pmod(-({_luhn("concat(g, '0')")}), 10) as string))")
-    number = _bind(plain, "e", f"case when {_luhn('e')} % 10 = 0 then {_refill(at, body)} when length(e) = 16 then {_refill(at, _digits(key, 'account', 'e', invert))} else {at} end")
+    number = _bind(plain, "e", f"case when {_luhn('e')} % 10 = 0 then {_refill(at, body)} end")
     email = f"concat({_letters(key, f'substring_index({at}, {_sql(chr(64))}, 1)', invert)}, substr({at}, instr({at}, '@')))"
-    rules = [(EMAIL, email), (IPV4, ip), (DATE, date), (SSN, _refill(at, _digits(key, "ssn", plain, invert))), (PHONE, phone), (NUMBER, number)]
-    return _bind(match, "x", "case " + " ".join(f"when {is_(p)} then {sql}" for p, sql in rules) + f" else {at} end")
+    rules = [(EMAIL, email), (IPV4, ip), (DATE, date), (SSN, ssn), (PHONE, phone), (NUMBER, number)]
+    return _bind(match, "x", "case " + " ".join(f"when {is_(p)} then {sql}" for p, sql in rules) + " end")
 
 
 def pseudonymise(docs: DataFrame, key: str, invert: bool = False) -> DataFrame:
-    """docs with text rewritten, and n_replaced int: how many values were replaced. Null stays null, with 0; an empty text stays.
+    """docs with text rewritten, and n_replaced int: how many valid values were found, each replaced by its pseudonym, which may by chance be itself. Null stays null, with 0; an empty text stays.
 
     Every whole text is read, and rows are taken one by one: repeated rows give repeated
-    rows. A column of docs named n_replaced gives way to the new one. With invert, the pseudonyms made
+    rows. A column of docs named n_replaced gives way to the new one; all others stay. With invert, the pseudonyms made
     with the key are turned back.
     """
+    docs = docs.drop("n_replaced")
+    columns = docs.columns
+    found, new, secret = (free_name(n, docs) for n in ("_found", "_new", "_key"))
     has = F.expr("case when text rlike '[0-9@]' then regexp_extract_all(text, " + _sql(ANY) + ", 0) end")
-    docs = docs.drop("n_replaced").withColumn("_found", has)
-    docs = docs.withColumn("_new", F.expr(f"transform(_found, f -> {pseudonym('f', key, invert)})"))
-    text = F.expr(f"case when size(_found) > 0 then array_join(zip_with(split(text, {_sql(ANY)}, -1), _new, (p, n) -> concat(p, coalesce(n, ''))), '') else text end")
-    count = F.expr("cast(coalesce(aggregate(zip_with(_found, _new, (a, b) -> if(a <> b, 1, 0)), 0, (s, x) -> s + x), 0) as int)")
-    return docs.withColumn("n_replaced", count).withColumn("text", text).drop("_found", "_new")
+    docs = docs.withColumns({found: has, secret: _key_column(docs.sparkSession, key)})
+    docs = docs.withColumn(new, F.expr(f"transform({found}, f -> {pseudonym('f', secret, invert)})"))
+    text = F.expr(f"case when size({found}) > 0 then array_join(zip_with(zip_with(split(text, {_sql(ANY)}, -1), {found}, (p, f) -> struct(p, f)), {new}, (x, n) -> concat(x.p, coalesce(n, x.f, ''))), '') else text end")
+    count = F.expr(f"cast(coalesce(size(filter({new}, x -> x is not null)), 0) as int)")
+    count = F.when(F.col(found).isNull(), F.lit(0)).otherwise(count)
+    return docs.withColumn("n_replaced", count).withColumn("text", text).select(*columns, "n_replaced")
