@@ -102,7 +102,8 @@ def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
     flips = (radius + 1 + BLOCKS - 1) // BLOCKS - 1
     left = _posted(windows.select("n", "f").distinct(), 0)
     right = _posted(items.select("item", "n", F.col("f").alias("of"), "f"), flips).drop("f")
-    met = left.join(right, ["n", "block", "value"]).withColumn("distance", _distance("f", "of")).where(F.col("distance") <= radius)
+    # postings are thousands for an item, which no estimate knows: they are shuffled, not broadcast
+    met = left.join(right.hint("merge"), ["n", "block", "value"]).withColumn("distance", _distance("f", "of")).where(F.col("distance") <= radius)
     return met.select("n", "f", "item", "distance").distinct()
 
 
