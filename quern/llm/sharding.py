@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import keyed, materialize, small
-from quern.storage import BROADCAST_ROWS, Workspace
+from quern.storage import Workspace
 
 #: Rows in a range of the ranking, on average, as long as there are no more than _MOST_RANGES.
 RANGE_ROWS = 500
@@ -69,8 +69,9 @@ def interleave(facts: DataFrame, shards: int = 24, seed: int = 7, range_rows: in
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """docs with shard and slot; a column of docs with one of these names gives way to the new one. Cases as for interleave."""
     docs, key = keyed(docs)
+    # as many rows as documents: never broadcast, so that work grows evenly with the table
     placed = interleave(_facts(docs, key), shards, seed).select(F.col("row").alias(key), "shard", "slot")
-    return docs.drop("shard", "slot").join(small(placed, BROADCAST_ROWS // 4), key).drop(key)
+    return docs.drop("shard", "slot").join(placed.hint("merge"), key).drop(key)
 
 
 def _facts(docs: DataFrame, key: str) -> DataFrame:
