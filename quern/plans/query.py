@@ -205,11 +205,17 @@ def build(query: Query, sources: list[Source], spark: SparkSession, first: int |
                     bound[b.out] = F.col(f"k{b.out}")
             pending = later
 
+    def estimate(i: int) -> tuple[bool, float]:
+        """Whether joining the atom may multiply rows, and about how many of its rows are left: each bound column is taken to keep a tenth."""
+        a = query.atoms[i]
+        known = [c in bound for c in a.args]
+        return not (known and all(known)), sources[i][1] / 10.0 ** (sum(known) + (a.out in bound))
+
     compute()
     todo = list(range(len(query.atoms)))
     while todo:
         linked = [i for i in todo if df is not None and any(isinstance(c, int) and c in bound and c not in query.constants for c in (*query.atoms[i].args, query.atoms[i].out))]
-        i = first if first in todo else min(linked or todo, key=lambda j: sources[j][1])
+        i = first if first in todo else min(linked or todo, key=estimate)
         todo.remove(i)
         df = _join(df, query.atoms[i], sources[i][0](), bound, wanted, query.constants)
         compute()
@@ -247,6 +253,7 @@ def _join(df: DataFrame | None, atom: AtomPlan, rows: DataFrame, bound: dict, wa
         if c not in plain:
             rows = rows.where(F.col(f"k{c}") == bound[c]).drop(f"k{c}")
     new = [c for c in columns if c not in shared]
+    # a product is what the query asks for here: no value links the two sides
     out = df.join(rows, [f"k{c}" for c in plain], "inner") if plain else df.crossJoin(rows)
     bound.update({c: F.col(f"k{c}") for c in new})
     return out

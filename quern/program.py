@@ -60,6 +60,7 @@ class Program:
         self.tables: dict[str, FunctionTable] = {}
         self.rules: list[CompiledRule] = []
         self.epoch = self.lo = self.hi = 0
+        self.batches: dict[tuple[str, str], int] = {}  # the last batch held of each stream
         self._facts: list[S.Action] = []
         self._started = time.perf_counter()
 
