@@ -18,3 +18,29 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
   s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
 FROM sets s LEFT JOIN least ON a = s.doc_id
 """
+
+#: text_crc32 goes byte by byte through the table of the polynomial EDB88320, of which t holds the 256 entries.
+OP10 = r"""
+WITH RECURSIVE bits AS (
+  SELECT n, 0 AS k, n AS c FROM range(256) r(n)
+  UNION ALL SELECT n, k + 1, xor(c >> 1, (c & 1) * 3988292384) FROM bits WHERE k < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+facts AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) END AS text_crc32
+  FROM documents, t),
+ranked AS (
+  SELECT *, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash, coalesce('s' || source, 'n') AS stratum,
+    row_number() OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) AS rank,
+    count(*) OVER (PARTITION BY source) AS rows
+  FROM facts),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * rows), stratum, hash, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS place,
+    count(*) OVER () AS total
+  FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(place * 24 // total AS INT) AS shard,
+  CAST(place - (place * 24 // total * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed
+"""

@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": oracles.OP1}
+    return {"op1_minhash": oracles.OP1, "op10_sharding": oracles.OP10}
