@@ -7,7 +7,10 @@ nearest of as many coarser centroids as their root. Centroids and code books are
 sample, the SAMPLE vectors with the least seeded hash, or 16 for each list if that is more, and every vector is indexed. A
 query visits its nearest lists, as many as found RECALL of the sample's own
 neighbours, and on until it has seen 16 * RERANK rows; in each it ranks all codes by its asymmetric distance table and takes the
-RERANK best to be held exactly, in double precision, against the original vectors.
+RERANK best to be held exactly, in double precision, against the original vectors. What that may have missed is looked up: a row is no
+further from its code than the length of what the code leaves over, and no row of a list is further from its centroid than the furthest, so rows and
+then lists that could by these bounds still hold a nearer one are held exactly too. Answers are therefore the nearest of all rows, however the rows lie;
+that decides only how many are looked at. Where most lists would be visited, all are at once.
 A list is worked on in blocks of about BLOCK_ROWS, so a list that holds a third of
 all rows is many tasks. A task holds one block, and queries stream past it; over
 QUERY_ROWS queries are parted, and each part meets every block in its own task.
@@ -15,8 +18,9 @@ QUERY_ROWS queries are parted, and each part meets every block in its own task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -33,6 +37,9 @@ RERANK = 64
 RECALL = 0.98
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 200_000
+QUERY_BATCH = 64
+#: Allowed for single precision in bounds of distances between unit vectors and of their squares.
+SLACK = 1e-5
 #: Tasks of the search, where there are so many blocks.
 MOST_TASKS = 10_000
 MOST_LISTS = 16_384
@@ -112,6 +119,11 @@ class Index:
         wanted = (np.arange(len(sizes)) < self.probes) | (before < least)
         return [row[ok] for row, ok in zip(order, wanted, strict=True)]
 
+    def within(self, q: np.ndarray, reach: float, radius: np.ndarray) -> np.ndarray:
+        """The lists that may hold a row within reach of q; radius: how far the rows of each lie from its centroid at most, -1 for none."""
+        far = np.sqrt(((self.coarse - q) ** 2).sum(1))
+        return np.flatnonzero((radius >= 0) & (far <= reach + radius + SLACK))
+
 
 def list_count(rows: int) -> int:
     return int(min(max(1, np.sqrt(rows) / 4), MOST_LISTS))
@@ -156,11 +168,23 @@ class _Block:
         self.norms = np.sqrt((self.x * self.x).sum(1))
         self.centre = index.coarse[rows["list"][0].as_py()]
         self.square = (index.books**2).sum(2)
-
-    def nearest(self, qid: int, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best of the `rerank` rows nearest by the distance table."""
+        self.unit = _unit(self.x)
+        told = np.concatenate([b[c - j * index.books.shape[1]] for j, (b, c) in enumerate(zip(index.books, self.codes, strict=True))], 1)
+        self.left = np.sqrt(((self.unit - self.centre - told) ** 2).sum(1))
+
+    def search(self, asked: np.ndarray, x: np.ndarray, floors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """nearest for each query; cosines with all rows, where one needs them, are worked out for QUERY_BATCH queries together."""
+        for a in range(0, len(asked), QUERY_BATCH):
+            ids, qs = asked[a : a + QUERY_BATCH], x[a : a + QUERY_BATCH]
+            dots = cache(lambda qs=qs: _unit(qs) @ self.unit.T)
+            for i, (qid, q, floor) in enumerate(zip(ids, qs, floors[a : a + QUERY_BATCH], strict=True)):
+                yield qid, *self.nearest(qid, q, k, rerank, floor, lambda i=i, dots=dots: dots()[i])
+
+    def nearest(self, qid: int, q: np.ndarray, k: int, rerank: int, floor: float, dots: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best rows. The `rerank` nearest by the distance table come first; then those that may by their bounds be as near as the k-th of these, and at least as near as floor."""
         books, ids = self.index.books, self.ids
-        rest = (_unit(q[None])[0] - self.centre).reshape(len(books), 1, -1)
+        unit = _unit(q[None])[0]
+        rest = (unit - self.centre).reshape(len(books), 1, -1)
         table = (self.square - 2 * (books * rest).sum(2)).ravel()
         far = table[self.codes[0]]
         for c in self.codes[1:]:
@@ -171,10 +195,28 @@ class _Block:
             some = np.concatenate([below, same[: rerank + 1 - len(below)]])
         else:
             some = np.arange(len(ids))
-        some = np.sort(some[ids[some] != qid])
+        found, score = self._best(some, qid, q, k)
+        if len(some) < len(ids):
+            if len(found) == k:
+                floor = max(floor, score[-1])
+            near = far + (rest * rest).sum() - SLACK <= (_reach(floor) + self.left + SLACK) ** 2
+            if 4 * np.count_nonzero(near) > len(ids):
+                near &= dots() >= floor - SLACK
+            near[some] = True
+            found, score = self._best(np.flatnonzero(near), qid, q, k)
+        return found, score
+
+    def _best(self, some: np.ndarray, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best of some rows, held exactly."""
+        some = np.sort(some[self.ids[some] != qid])
         score = (self.x[some] * q).sum(1) / (self.norms[some] * np.sqrt((q * q).sum()))
-        best = np.lexsort((ids[some], -score))[:k]
-        return ids[some[best]], score[best]
+        best = np.lexsort((self.ids[some], -score))[:k]
+        return self.ids[some[best]], score[best]
+
+
+def _reach(score: float) -> float:
+    """How far apart unit vectors of that cosine are."""
+    return float(np.sqrt(max(0.0, 2 - 2 * score)))
 
 
 def _answer(index: Index, k: int, rerank: int):
@@ -200,7 +242,7 @@ def _answer(index: Index, k: int, rerank: int):
                     block, held = _Block(index, pa.Table.from_batches(held)), []
                 if block is None:
                     continue
-                found = [(qid, *block.nearest(qid, q, k, rerank)) for qid, q in zip(rows.column("vec_id").to_numpy(), _matrix(rows.column("x")), strict=True)]
+                found = list(block.search(rows.column("vec_id").to_numpy(), _matrix(rows.column("x")), rows.column("floor").to_numpy(), k, rerank))
                 ids, score = (np.concatenate([f[i] for f in found]) for i in (1, 2))
                 asked = np.repeat(rows.column("vec_id").to_numpy(), [len(f[1]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
@@ -235,35 +277,65 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, codes = shared.value.encode(_unit(_matrix(batch.column("x"))))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "x", "list", "code"])
-
-    coded = materialize(clean.mapInArrow(encode, "vec_id long, x binary, list int, code binary"), "coded")
-    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # MOST_LISTS rows at most
-    counts = np.array([sizes.get(a, 0) for a in range(len(index.coarse))])
+                unit = _unit(_matrix(batch.column("x")))
+                own, codes = shared.value.encode(unit)
+                far = np.sqrt(((unit - shared.value.coarse[own]) ** 2).sum(1)).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far)], names=["vec_id", "x", "list", "code", "far"])
+
+    coded = materialize(clean.mapInArrow(encode, "vec_id long, x binary, list int, code binary, far double"), "coded")
+    lists = coded.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # MOST_LISTS rows at most
+    sizes = {r["list"]: r["n"] for r in lists}
+    counts, radius = np.zeros(len(index.coarse), np.int64), np.full(len(index.coarse), -1.0)
+    for r in lists:
+        counts[r["list"]], radius[r["list"]] = r["n"], r["far"]
+    whole = 2 * index.probes > len(index.coarse)
     blocks = {a: -(-n // block_rows) for a, n in sizes.items()}
-    count = F.create_map(*[F.lit(int(v)) for pair in sorted(blocks.items()) for v in pair])
     queried = materialize(parse(queries).groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     parts = -(-queried.count() // query_rows)
     if not parts:
         return spark.createDataFrame([], schema)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists that each query visits first."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            to = shared.value.lists(_unit(_matrix(batch.column("x"))), counts, 16 * rerank)
-            pairs = [(i, a, b) for i, row in enumerate(to) for a in row.tolist() for b in range(blocks.get(a, 0))]
-            at = pa.array([p[0] for p in pairs], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("x").take(at), pa.array([p[1] for p in pairs], pa.int32()), pa.array([p[2] for p in pairs], pa.int32())], names=["vec_id", "x", "list", "block"])
+            if batch.num_rows:
+                to = [np.flatnonzero(counts)] * batch.num_rows if whole else shared.value.lists(_unit(_matrix(batch.column("x"))), counts, 16 * rerank)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array([t.tolist() for t in to], pa.list_(pa.int32())), pa.array(np.full(batch.num_rows, -2.0))], names=["vec_id", "x", "lists", "floor"])
 
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists not visited yet that may hold a row as near as the k-th found."""
+        for batch in batches:
+            if batch.num_rows:
+                floors = batch.column("floor").to_numpy()
+                units, seen = _unit(_matrix(batch.column("x"))), batch.column("lists").to_pylist()
+                to = [np.setdiff1d(shared.value.within(u, _reach(f), radius), s) for u, f, s in zip(units, floors, seen, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array([t.tolist() for t in to], pa.list_(pa.int32())), pa.array(floors)], names=["vec_id", "x", "lists", "floor"])
+
+    visits = "vec_id long, x binary, lists array<int>, floor double"
+    count = F.create_map(*[F.lit(int(v)) for pair in sorted(blocks.items()) for v in pair])
     block = F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("list"))).cast("int")
     key = ["list", "block", "part"]
-    there = coded.select("vec_id", "x", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("asks"), "code")
-    asked = queried.mapInArrow(visit, "vec_id long, x binary, list int, block int")
-    asked = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("code"))
+    there = coded.select("vec_id", "x", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("asks"), "code", F.lit(None).cast("double").alias("floor"))
     tasks = min(MOST_TASKS, sum(blocks.values()) * parts)
-    both = there.unionByName(asked).repartition(tasks, *key).sortWithinPartitions(*key, "asks")
-    found = both.mapInArrow(_answer(index, k, rerank), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(asking: DataFrame) -> DataFrame:
+        asked = asking.select("vec_id", "x", F.explode("lists").alias("list"), "floor").where(F.element_at(count, F.col("list")).isNotNull())
+        asked = asked.select("vec_id", "x", "list", F.explode(F.sequence(F.lit(0), F.element_at(count, F.col("list")) - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("asks"), F.lit(None).cast("binary").alias("code"), "floor")
+        both = there.unionByName(asked).repartition(tasks, *key).sortWithinPartitions(*key, "asks")
+        return both.mapInArrow(_answer(index, k, rerank), "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asking = queried.mapInArrow(visit, visits)
+    if whole:
+        return best(search(asking))
+    asking = materialize(asking, "visits")
+    first = materialize(best(search(asking)), "found")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    more = asking.join(floors, "vec_id", "left").select("vec_id", "x", "lists", F.coalesce("kth", "floor").alias("floor"))
+    more = materialize(more.mapInArrow(beyond, visits).where(F.size("lists") > 0), "visits")
+    if more.isEmpty():
+        return first
+    return best(first.select("query_id", "vec_id", "score").unionByName(search(more)))

@@ -342,6 +342,17 @@ def test_queries_that_share_an_id(spark):
     assert len(first) == 5 and first == [tuple(r) for r in ann.nearest(table, asked.orderBy("embedding").repartition(2)).orderBy("rank").collect()]
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.3])
+def test_nearest_in_clusters_tighter_than_codes(spark, noise):
+    """Rows that the codes can't tell apart, and neighbours in lists beyond those visited first."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20, 64))[rng.integers(20, size=12_000)] + noise * rng.normal(size=(12_000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, table.where("vec_id % 200 = 0"), sample=2_000).collect()
+    want = exact(np.arange(12_000), x, range(0, 12_000, 200))
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, i + 1): v for q, near in want.items() for i, (v, _) in enumerate(near)}
+
+
 def test_lists_in_two_levels():
     """Clustered vectors: few of many lists hold nearly all neighbours; every row gets a list, and probing them all finds all."""
     rng = np.random.default_rng(7)
