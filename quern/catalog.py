@@ -12,8 +12,8 @@ from quern.syntax import BASE_TYPES, INT, STRING, UNIT, Function
 
 
 def spark_type(kind: str) -> T.DataType:
-    """Unit is a boolean that is true, integers are longs, members of sorts are strings that only the engine makes."""
-    return {UNIT: T.BooleanType(), INT: T.LongType(), STRING: T.StringType()}.get(kind, T.StringType())
+    """Unit is a boolean that is true, integers are longs, members of sorts are bytes that only the engine makes."""
+    return {UNIT: T.BooleanType(), INT: T.LongType(), STRING: T.StringType()}.get(kind, T.BinaryType())
 
 
 @dataclass

@@ -1,20 +1,24 @@
-"""Union-find over links: on the driver for few of them, else as a distributed loop of joins."""
+"""Union-find over links: on the driver for few of them, in one task for some millions, else as a distributed loop of joins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.storage import BROADCAST_ROWS as _WIDE, Workspace
 
-#: Ids are strings as long as a digest, so fewer of them are broadcast than of numbers.
+#: Ids are as long as a digest, so fewer of them are broadcast than of numbers.
 BROADCAST_ROWS = _WIDE // 4
 
 #: Links that the driver may hold; more are worked on by Spark.
 DRIVER_LINKS = 100_000
+#: Links that one task may hold: two ids of 16 bytes and two numbers each, under 1 GB in all.
+TASK_LINKS = 8_000_000
 #: A node with more links than this is joined apart from the others, so that no task gets all of its links.
 HOT_LINKS = 1_000
 
@@ -85,14 +89,54 @@ def distributed_roots(links: DataFrame, space: Workspace, hot_links: int = HOT_L
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
-def roots(links: DataFrame, space: Workspace, driver_links: int = DRIVER_LINKS) -> tuple[DataFrame, int, str]:
-    """(id, root) of links (a, b) between strings, how many ids have another root, and the least such id. Ties: the least id is the root."""
+def joined_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the class of each of n nodes under links (a, b): labels go to the lesser of two linked ones and on to their own label, until links are within classes."""
+    label = np.arange(n)
+    while len(a):
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(label, b, a)
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
+def task_roots(links: DataFrame) -> DataFrame:
+    """(id, root) as distributed_roots, with all links in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        ids = pa.concat_arrays([*table["a"].chunks, *table["b"].chunks]).dictionary_encode()
+        order = ids.dictionary.take(order_by := pc.sort_indices(ids.dictionary))
+        rank = np.empty(len(order), np.int64)
+        rank[order_by.to_numpy()] = np.arange(len(order))
+        ends = rank[ids.indices.to_numpy()]
+        label = joined_roots(ends[: len(ends) // 2], ends[len(ends) // 2 :], len(order))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        for at in range(0, len(moved), 1 << 18):
+            some = moved[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([order.take(pa.array(some)), order.take(pa.array(label[some]))], names=["id", "root"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.coalesce(1).mapInArrow(run, f"id {kind}, root {kind}")
+
+
+def roots(links: DataFrame, space: Workspace, driver_links: int = DRIVER_LINKS, task_links: int = TASK_LINKS) -> tuple[DataFrame, int, bytes]:
+    """(id, root) of links (a, b) between ids, how many ids have another root, and the least such id. Ties: the least id is the root."""
     some = links.limit(driver_links + 1).collect()
     if len(some) <= driver_links:
-        found = sorted(local_roots((r[0], r[1]) for r in some).items())
+        found = sorted(local_roots((bytes(r[0]), bytes(r[1])) for r in some).items())
         ids = [x for x, _ in found]
-        table = pa.table({"id": pa.array(ids, pa.string()), "root": pa.array([r for _, r in found], pa.string())})
-        return space.spark.createDataFrame(table), len(found), min(ids, default="")
-    table = distributed_roots(space.save(links, "linked"), space)
+        table = pa.table({"id": pa.array(ids, pa.binary()), "root": pa.array([r for _, r in found], pa.binary())})
+        return space.spark.createDataFrame(table), len(found), min(ids, default=b"")
+    links, facts = space.measured(links, "linked")
+    if facts["n"] <= task_links:
+        table, facts = space.measured(task_roots(links), "united")
+        return table, facts["n"], bytes(table.agg(F.min("id")).first()[0] or b"")
+    table = distributed_roots(links, space)
     n, least = table.agg(F.count("*"), F.min("id")).first()
-    return table, n, least or ""
+    return table, n, bytes(least or b"")

@@ -75,7 +75,7 @@ class FunctionTable:
         self.kinds = [*f.inputs, f.output]
         fields = [T.StructField(c, spark_type(k)) for c, k in zip([*self.keys, "out"], self.kinds, strict=True)]
         self.schema = T.StructType([*fields, T.StructField("_e", T.LongType())])
-        types = {"boolean": pa.bool_(), "bigint": pa.int64()}
+        types = {"boolean": pa.bool_(), "bigint": pa.int64(), "binary": pa.binary()}
         self._arrow = pa.schema([(f.name, types.get(f.dataType.simpleString(), pa.string())) for f in self.schema])
         self.parts: list[Part] = []
         self.dead: list[Dead] = []

@@ -18,9 +18,9 @@ from quern import syntax as S
 from quern.catalog import Catalog, spark_type
 from quern.errors import ProgramError
 from quern.functions.merges import merge_of
-from quern.operators.actions import Effects, Head, check_action, lookups
+from quern.operators.actions import Effects, Head, check_action, epoch_start, lookups
 from quern.operators.closure import DERIVED, MOST_PAIRS, THERE, Closure, closure_of, compose
-from quern.operators.components import BROADCAST_ROWS, DRIVER_LINKS, roots
+from quern.operators.components import BROADCAST_ROWS, DRIVER_LINKS, TASK_LINKS, roots
 from quern.operators.store import FunctionTable
 from quern.plans.query import Query, analyse, build, empty, union_all, variants
 from quern.storage import LOCAL_ROWS, Workspace
@@ -56,8 +56,8 @@ class Program:
     An error in an iteration leaves the tables as they were before it.
     """
 
-    def __init__(self, spark: SparkSession, max_rows: int | None = None, driver_links: int = DRIVER_LINKS, threads: int = 8, most_pairs: int = MOST_PAIRS):
-        self.spark, self.max_rows, self.driver_links, self.threads, self.most_pairs = spark, max_rows, driver_links, threads, most_pairs
+    def __init__(self, spark: SparkSession, max_rows: int | None = None, driver_links: int = DRIVER_LINKS, threads: int = 8, most_pairs: int = MOST_PAIRS, task_links: int = TASK_LINKS):
+        self.spark, self.max_rows, self.driver_links, self.threads, self.most_pairs, self.task_links = spark, max_rows, driver_links, threads, most_pairs, task_links
         self.space = Workspace(spark)
         self.catalog = Catalog()
         self.tables: dict[str, FunctionTable] = {}
@@ -243,12 +243,12 @@ class Program:
 
     def _rename(self, sort: str, frames: list[DataFrame], few: bool) -> list[tuple[str, DataFrame]]:
         """Make linked ids one in all tables; the contributions that this takes out of them."""
-        dirty, n, least = roots(union_all(frames), self.space, self.driver_links)
+        dirty, n, least = roots(union_all(frames), self.space, self.driver_links, self.task_links)
         if not n:
             return []
         if n <= BROADCAST_ROWS:
             dirty = F.broadcast(dirty)
-        fresh_only = least >= f"{self.epoch:08x}"
+        fresh_only = least >= epoch_start(self.epoch)
         affected = [t for _, t in sorted(self.tables.items()) if sort in t.kinds and t.parts]
         moved = self._in_parallel([lambda t=t: (t.f.name, t.rename(dirty, sort, self.epoch, fresh_only, few)) for t in affected])
         return [(name, df if not self.tables[name].merge.ordered else df.withColumn("ord", F.lit(""))) for name, df in moved if df is not None]
@@ -446,7 +446,7 @@ class Program:
                     elif kind in S.BASE_TYPES:
                         shown.append(str(S.Str(v) if kind == S.STRING else v))
                     else:
-                        shown.append(f"s{numbers.setdefault(v, len(numbers))}")
+                        shown.append(f"s{numbers.setdefault(bytes(v), len(numbers))}")
                 out.append(f"{name}: {' '.join(shown)}")
         return out
 

@@ -341,7 +341,7 @@ def components(spark, sf_dir):
 @query("SELECT c_custkey AS c, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS least FROM customer")
 def components_by_stars(spark, sf_dir):
     """As components, with links united by distributed star contraction, as they are where the driver can't hold them."""
-    p = Program(spark, driver_links=0)
+    p = Program(spark, driver_links=0, task_links=0)
     p.execute("(sort Node) (function node (i64) Node) (relation link (i64 i64)) (relation own (i64)) (rule ((own x)) ((node x))) (rule ((link x y)) ((union (node x) (node y))))")
     p.load("link", chains(spark, sf_dir))
     p.load("own", read_table(spark, sf_dir, "customer").select("c_custkey"))

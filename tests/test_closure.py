@@ -57,3 +57,28 @@ def test_batches_and_slices(spark, monkeypatch):
     seeds = [(i, b) for i, s in enumerate(starts) for a, b in sorted(pairs) if a == s]
     found = [(int(starts[s]), int(y)) for x, z in edges.follow(*np.array(seeds).T, np.full(len(seeds), closure.THERE)) for s, y in zip(x, z)]
     assert len(found) == len(set(found)) and set(found) == closed(pairs) - pairs
+
+
+def test_links_united_in_one_task(spark):
+    from quern.operators.components import local_roots, roots, task_roots
+    from quern.storage import Workspace
+
+    rng = np.random.default_rng(8)
+    links = [(int(a).to_bytes(2, "big"), int(b).to_bytes(2, "big")) for a, b in rng.integers(0, 4_000, (3_000, 2))]
+    links += [(i.to_bytes(2, "big"), (i + 1).to_bytes(2, "big")) for i in range(5_000, 9_000)]
+    table = spark.createDataFrame(links, "a binary, b binary").repartition(5)
+    want = local_roots(links)
+    assert {bytes(r.id): bytes(r.root) for r in task_roots(table).collect()} == want
+    for limits in ((100_000, 100_000), (0, 100_000), (0, 0)):
+        got, n, least = roots(table, Workspace(spark), *limits)
+        assert {bytes(r.id): bytes(r.root) for r in got.collect()} == want and n == len(want) and least == min(want)
+
+
+def test_ids_are_short(spark):
+    """Ids go through every shuffle, so they are 16 bytes; a table of links beyond the driver's goes to one task."""
+    p = Program(spark, driver_links=0)
+    p.execute("(sort Node) (function node (i64) Node) (relation link (i64 i64)) (rule ((link x y)) ((union (node x) (node y))))")
+    p.load("link", spark.range(300).selectExpr("id a", "id + 1 b"))
+    p.run()
+    rows = p.table("node").collect()
+    assert len(rows) == 301 and {len(r["out"]) for r in rows} == {16} and len({bytes(r["out"]) for r in rows}) == 1
