@@ -304,7 +304,7 @@ class FunctionTable:
         return Change(n, reduce(DataFrame.unionByName, links) if links else None)
 
     def rename(self, dirty: DataFrame, sort: str, epoch: int, fresh_only: bool, few: bool = False) -> DataFrame | None:
-        """Replace ids of a sort by their roots (dirty: id, root). The rows touched leave the table and are returned as contributions.
+        """Replace ids of a sort by their roots (dirty: id, root). The rows touched leave the table and are returned as contributions, or, if only outputs change, are put back with their new ones.
 
         fresh_only: no id of before this epoch changes, so older parts needn't be looked at.
         """
@@ -316,9 +316,14 @@ class FunctionTable:
         for c in columns:
             df = df.join(dirty.select(F.col("id").alias(f"_i_{c}"), F.col("root").alias(f"_r_{c}")), F.col(c) == F.col(f"_i_{c}"), "left")
         hit = reduce(lambda a, b: a | b, (F.col(f"_r_{c}").isNotNull() for c in columns))
-        moved = df.where(hit).select(*[F.coalesce(f"_r_{c}", c).alias(f"n_{c}") if c in columns else F.col(c).alias(f"n_{c}") for c in (*self.keys, "out")], *self.keys, "_e")
+        moved = df.where(hit).select(*[F.coalesce(f"_r_{c}", c).alias(f"n_{c}") for c in columns], *self.keys, *([] if "out" in columns else ["out"]), "_e")
         moved, facts = self.space.measured(moved, "moved", few, fresh=F.col("_e") == epoch)
         if not facts["n"]:
             return None
         self._kill(moved, facts["n"], facts["fresh"], epoch, min(p.number for p in some), facts["table"])
-        return moved.select(*[F.col(f"n_{c}").alias(c) for c in (*self.keys, "out")])
+        if columns == ["out"]:
+            # inputs stay, so no row can meet another: what was written is the part
+            local = facts["table"]
+            self._append(moved.select(*self.keys, F.col("n_out").alias("out")), facts["n"], epoch, None if local is None else local.select([*self.keys, "n_out"]).rename_columns([*self.keys, "out"]))
+            return None
+        return moved.select(*[F.col(f"n_{c}").alias(c) if c in columns else F.col(c) for c in (*self.keys, "out")])

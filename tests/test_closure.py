@@ -82,3 +82,14 @@ def test_ids_are_short(spark):
     p.run()
     rows = p.table("node").collect()
     assert len(rows) == 301 and {len(r["out"]) for r in rows} == {16} and len({bytes(r["out"]) for r in rows}) == 1
+
+
+def test_renamed_outputs_are_put_back_without_a_merge(spark):
+    """Where ids are only outputs, a rename gives no contributions: the rows it wrote are the table's."""
+    p = Program(spark)
+    p.execute("(sort Node) (function node (i64) Node) (function of (String) Node) (node 1) (node 2) (of \"a\")")
+    old = {r["c0"]: r["out"] for r in p.table("node").collect()}
+    dirty = spark.createDataFrame([(old[2], old[1])], "id binary, root binary")
+    assert p.tables["node"].rename(dirty, "Node", p.epoch, False, True) is None
+    assert {r["c0"]: r["out"] for r in p.table("node").collect()} == {1: old[1], 2: old[1]} and p.size("node") == 2
+    assert p.tables["of"].rename(dirty, "Node", p.epoch, False, True) is None and p.size("of") == 1
